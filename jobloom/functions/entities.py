@@ -28,14 +28,27 @@ _TABLE_JSON = json.dumps(_table())
 _REFERENCE = r"^(#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][-.a-zA-Z0-9]*)"
 
 
-def decode_entities(text: Column) -> Column:
-    """An unknown name keeps its '&' and loses its ';', as a lenient HTML
-    reader does; text without '&' is returned untouched."""
-    return bind(text, lambda t: F.when(
+# Characters that would read as markup once decoded, and their stand-ins.
+_MARKUP = "<>\"'"
+_STAND_INS = "\x02\x03\x04\x05"
+
+
+def decode_entities(page: Column) -> Column:
+    """Decode every reference of a page that still has its tags, once.
+
+    A decoded '<' must not become a tag, so markup characters are decoded to
+    stand-ins, which `shown` turns back when text leaves the page. An unknown
+    name keeps its '&' and loses its ';', as a lenient HTML reader does.
+    """
+    return bind(page, lambda t: F.when(
         F.contains(t, F.lit("&")), bind(F.split(t, "&"), _decode_pieces)
     ).otherwise(t))
 
 
+def shown(text: Column) -> Column:
+    return F.translate(text, _STAND_INS, _MARKUP)
+
+
 def _decode_pieces(pieces: Column) -> Column:
     table = F.from_json(F.lit(_TABLE_JSON), "map<string,string>")
     # Each step is its own transform, so that no part is evaluated twice.
@@ -50,8 +63,9 @@ def _decode_pieces(pieces: Column) -> Column:
     ))
     decoded = F.transform(looked_up, lambda s: F.concat(
         F.coalesce(
-            s["known"],
-            F.when(F.startswith(s["name"], F.lit("#")), _numeric(s["name"])),
+            F.translate(s["known"], _MARKUP, _STAND_INS),
+            F.when(F.startswith(s["name"], F.lit("#")),
+                   F.translate(_numeric(s["name"]), _MARKUP, _STAND_INS)),
             F.concat(F.lit("&"), s["name"]),
         ),
         F.when(s["name"] == "", s["rest"]).otherwise(

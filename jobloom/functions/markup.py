@@ -6,7 +6,7 @@ the first closing tag, and an unclosed one runs to the end of the page.
 
 from pyspark.sql import Column, functions as F
 
-from jobloom.functions.entities import decode_entities
+from jobloom.functions.entities import decode_entities, shown
 from jobloom.functions.text import BLANK_RUN, bind, collapse, empty_to_null, strip
 
 # Inside of a tag: '>' may occur in a quoted value, but a quote only counts
@@ -29,20 +29,16 @@ def _element(names: list[str]) -> str:
     return rf"(?is){_COMMENT}|<({tags})\b{_IN_TAG}>.*?(?:</\1\s*>|\z)"
 
 
-def without_unseen(page: Column) -> Column:
-    return F.regexp_replace(page, _element(UNSEEN), _NODE)
-
-
-def without_boilerplate(page: Column) -> Column:
-    return F.regexp_replace(page, _element(UNSEEN + BOILERPLATE), _NODE)
+def readable(page: Column) -> Column:
+    """The page without comments and unseen elements, references decoded. All
+    functions below take this form; only JSON-LD is read from the raw page."""
+    return decode_entities(F.regexp_replace(page, _element(UNSEEN), _NODE))
 
 
 def text_nodes(fragment: Column) -> Column:
-    """Stripped, non-empty text nodes in document order. References are decoded
-    once for the whole fragment, after the tags are gone."""
-    joined = F.regexp_replace(fragment, rf"(?:{_TAG})+", _NODE)
-    nodes = F.split(decode_entities(joined), _NODE)
-    return F.filter(F.transform(nodes, strip), lambda n: n != "")
+    """Stripped, non-empty text nodes in document order."""
+    joined = shown(F.regexp_replace(fragment, rf"(?:{_TAG})+", _NODE))
+    return F.filter(F.transform(F.split(joined, _NODE), strip), lambda n: n != "")
 
 
 def text_lines(nodes: Column) -> Column:
@@ -66,24 +62,28 @@ def first_text(fragment: Column, name: str) -> tuple[Column, Column]:
 
 
 def body_text(page: Column) -> Column:
-    """Text of the body, or of everything when there is no body."""
-    content = bind(without_boilerplate(page), lambda p: F.coalesce(inner(p, "body"), p))
+    """Text of the body without boilerplate, or of everything when there is no
+    body."""
+    kept = F.regexp_replace(page, _element(BOILERPLATE), _NODE)
+    content = bind(kept, lambda p: F.coalesce(inner(p, "body"), p))
     return F.array_join(text_nodes(content), " ")
 
 
 def _attribute(tag: Column, name: str) -> Column:
-    """Attribute value, decoded; '' when absent."""
-    found = rf"""(?is)[\s"'/]{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-    return F.concat(*[F.regexp_extract(tag, found, i) for i in (1, 2, 3)])
+    """Attribute value; '' when absent."""
+    found = rf"""(?is)[\s"'/]{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+    return bind(F.regexp_extract(tag, found, 1), lambda v: F.when(
+        F.substr(v, F.lit(1), F.lit(1)).isin('"', "'"), F.substr(v, F.lit(2), F.length(v) - 2)
+    ).otherwise(v))
 
 
-def meta_tags(visible: Column) -> Column:
+def meta_tags(page: Column) -> Column:
     """array<struct<property, name, content>> of the page's meta tags."""
-    tags = F.regexp_extract_all(visible, F.lit(rf"(?i)<meta\b{_IN_TAG}>"), F.lit(0))
+    tags = F.regexp_extract_all(page, F.lit(rf"(?i)<meta\b{_IN_TAG}>"), F.lit(0))
     return F.transform(tags, lambda t: F.struct(
         _attribute(t, "property").alias("property"),
         _attribute(t, "name").alias("name"),
-        decode_entities(_attribute(t, "content")).alias("content"),
+        shown(_attribute(t, "content")).alias("content"),
     ))
 
 
@@ -123,9 +123,8 @@ def job_posting(page: Column) -> Column:
 
 
 def _as_items(block: Column) -> Column:
-    value = F.try_parse_json(block)
-    return F.coalesce(
+    return bind(F.try_parse_json(block), lambda value: F.coalesce(
         F.try_variant_get(value, "$", "array<variant>"),
         F.when(value.isNotNull(), F.array(value)),
         F.array().cast("array<variant>"),
-    )
+    ))

@@ -1,6 +1,6 @@
 """Raw page -> parsed posting. One chain of projections, no shuffle.
 
-Columns are staged (`_visible`, `_nodes`, `_ld`, ...) because each is read
+Columns are staged (`_page`, `_nodes`, `_ld`, ...) because each is read
 several times; the optimizer keeps a projection apart when folding it into the
 next would repeat expensive work.
 """
@@ -81,10 +81,10 @@ def valid_location(location: Column) -> Column:
 
 # --- single fields ---------------------------------------------------------
 
-def page_title(ld: Column, visible: Column, metas: Column) -> Column:
+def page_title(ld: Column, page: Column, metas: Column) -> Column:
     ld_title = F.try_variant_get(ld, "$.title", "variant")
-    has_h1, h1 = markup.first_text(visible, "h1")
-    _, head_title = markup.first_text(visible, "title")
+    has_h1, h1 = markup.first_text(page, "h1")
+    _, head_title = markup.first_text(page, "title")
     chain = F.when(truthy(ld_title), collapse(variant_text(ld_title))).when(has_h1, h1)
     for key in TITLE_METAS:
         content = markup.meta_content(metas, key)
@@ -238,10 +238,10 @@ def description(ld: Column, page: Column) -> Column:
 # --- operators ---------------------------------------------------------------
 
 def page_lines(pages: DataFrame) -> DataFrame:
-    """Adds `_visible` (page without unseen parts), `_nodes` and `_lines`."""
+    """Adds `_page` (see `markup.readable`), `_nodes` and `_lines`."""
     return (
-        pages.withColumn("_visible", markup.without_unseen(F.col("html")))
-        .withColumn("_nodes", markup.text_nodes(F.col("_visible")))
+        pages.withColumn("_page", markup.readable(F.col("html")))
+        .withColumn("_nodes", markup.text_nodes(F.col("_page")))
         .withColumn("_lines", markup.text_lines(F.col("_nodes")))
     )
 
@@ -265,8 +265,8 @@ def parse_pages(pages: DataFrame, as_of: Column) -> DataFrame:
     c = F.col
     staged = (
         json_ld_fields(page_lines(pages))
-        .withColumn("_metas", markup.meta_tags(c("_visible")))
-        .withColumn("_title", page_title(c("_ld"), c("_visible"), c("_metas")))
+        .withColumn("_metas", markup.meta_tags(c("_page")))
+        .withColumn("_title", page_title(c("_ld"), c("_page"), c("_metas")))
         .withColumn("_full_text", F.array_join(c("_nodes"), "\n"))
         .withColumns({
             "_folded": folded(c("_full_text")),
@@ -298,7 +298,7 @@ def parse_pages(pages: DataFrame, as_of: Column) -> DataFrame:
             valid_location(c("_location")).alias("location"),
             relative_time(c("_date_text"), as_of).alias("date_posted"),
             typed.alias("job_type"),
-            description(c("_ld"), c("html")).alias("description_raw"),
+            description(c("_ld"), c("_page")).alias("description_raw"),
             F.when(c("_ld_bad_date"), F.lit("datePosted is not text"))
             .when(out_of_range(c("_date_text"), as_of), F.lit("date value out of range"))
             .alias("parse_error"),
