@@ -1,0 +1,75 @@
+"""Run registered queries against their SQL twins.
+
+    python -m tests.compare [folder] [name ...]
+"""
+
+import sys
+import time
+
+import duckdb
+
+TABLES = (
+    "region nation customer supplier part orders lineitem events documents embeddings "
+    "pages benchmark labels conversations"
+).split()
+
+
+def duck(folder: str) -> duckdb.DuckDBPyConnection:
+    con = duckdb.connect()
+    con.execute("SET TimeZone = 'UTC'")
+    for table in TABLES:
+        con.execute(
+            f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{folder}/{table}.parquet')")
+    return con
+
+
+def _rows(frame) -> list[tuple]:
+    columns = sorted(frame.columns)
+    plain = frame[columns].astype(object).where(frame[columns].notna(), None)
+    return sorted((tuple(r) for r in plain.itertuples(index=False)), key=repr)
+
+
+def differences(spark, folder: str, name: str, con) -> list[str]:
+    """Empty when both sides agree on names, types, and rows in any order."""
+    import __spark_entry__ as entry
+
+    found = entry.queries()[name](spark, folder)
+    wanted = con.sql(entry.oracle_sql()[name])
+    problems = []
+    kinds = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE",
+             "boolean": "BOOLEAN"}
+    left = {f.name: kinds.get(f.dataType.simpleString()) for f in found.schema.fields}
+    right = {n: str(t) for n, t in zip(wanted.columns, wanted.types)}
+    if left != right:
+        problems.append(f"schema {left} <> {right}")
+        return problems
+    ours, theirs = _rows(found.toPandas()), _rows(wanted.df())
+    if len(ours) != len(theirs):
+        problems.append(f"rows {len(ours)} <> {len(theirs)}")
+    bad = [(a, b) for a, b in zip(ours, theirs) if a != b]
+    if bad:
+        problems.append(f"{len(bad)} rows differ, first {bad[0]}"[:3000])
+    return problems
+
+
+def main() -> None:
+    from tests.conftest import session
+    import __spark_entry__ as entry
+
+    folder = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
+    names = sys.argv[2:] or list(entry.queries())
+    spark, con = session(), duck(folder)
+    for name in names:
+        start = time.time()
+        try:
+            if name not in entry.oracle_sql():
+                result = f"rows-only {entry.queries()[name](spark, folder).count()}"
+            else:
+                result = differences(spark, folder, name, con) or "ok"
+        except Exception as error:  # reported, the other queries still run
+            result = f"ERROR {str(error)[:1500]}"
+        print(f"{name:20s} {time.time() - start:6.1f}s {result}", flush=True)
+
+
+if __name__ == "__main__":
+    main()
