@@ -11,7 +11,7 @@ def _ascii_escape(json_text: Column) -> Column:
         F.split(json_text, ""),
         lambda c: F.when(
             c.rlike(r"[^\x00-\x7F]"),
-            F.lower(F.regexp_replace(F.hex(F.encode(c, "UTF-16BE")), "(.{4})", r"\\\\u$1")),
+            F.lower(F.regexp_replace(F.hex(F.encode(c, "UTF-16BE")), "(.{4})", r"\\u$1")),
         ).otherwise(c),
     )
     return F.when(json_text.rlike(r"[^\x00-\x7F]"), F.array_join(escaped, "")).otherwise(json_text)

@@ -234,7 +234,7 @@ def truncate_slug(spark: SparkSession, folder: str) -> DataFrame:
 
 def text_keys(spark: SparkSession, folder: str) -> DataFrame:
     return documents(spark, folder).select(
-        "doc_id", text.text_key(F.concat(F.lit(" \n"), F.upper("text"))).alias("text_key"))
+        "doc_id", text.text_key(F.concat(F.lit(" \n"), c("text"))).alias("text_key"))
 
 
 def url_fields(spark: SparkSession, folder: str) -> DataFrame:

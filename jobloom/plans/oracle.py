@@ -5,6 +5,8 @@ has ASCII word boundaries and no look-around, so boundaries are spelled out and
 sentence ends are marked before splitting.
 """
 
+import re
+
 from jobloom.functions import prompts, role, skills
 from jobloom.functions.text import BLANK_CLASS
 from jobloom.plans.inputs import HINTS, VERBS, VOCABULARY
@@ -42,10 +44,11 @@ def joined(x: str) -> str:
 
 
 def find_skills(x: str, vocabulary) -> str:
-    return (
-        f"list_filter({listed(vocabulary)}, lambda s: regexp_matches({x}, "
-        f"'(?i)(^|{NOT_WORD})' || regexp_escape(s) || '({NOT_WORD}|$)'))"
-    )
+    """Constant patterns, which DuckDB compiles once."""
+    tests = ", ".join(
+        f"CASE WHEN regexp_matches({x}, '(?i)(^|{NOT_WORD}){re.escape(v)}({NOT_WORD}|$)') "
+        f"THEN {quoted(v)} END" for v in vocabulary)
+    return f"list_filter([{tests}], lambda s: s IS NOT NULL)"
 
 
 def sentences(x: str) -> str:
@@ -190,10 +193,11 @@ SELECT page_id,
        CASE WHEN layout = 'P' THEN raw_kind END AS job_type
 FROM ads"""
 
-_JOBS = f"""{ADS}, jobs AS (
-  SELECT *, {clean('description_raw')} AS description_clean,
-         {find_skills(clean('description_raw'), skills.SKILLS)} AS skills
-  FROM ads WHERE parse_error IS NULL)
+_JOBS = f"""{ADS}, cleaned AS MATERIALIZED (
+  SELECT *, {clean('description_raw')} AS description_clean FROM ads
+  WHERE parse_error IS NULL),
+jobs AS MATERIALIZED (
+  SELECT *, {find_skills('description_clean', skills.SKILLS)} AS skills FROM cleaned)
 """
 _SKILLS_JSON = (
     "'[' || array_to_string(list_transform(skills, lambda s: '\"' || s || '\"'), ', ') || ']'"
@@ -211,9 +215,13 @@ SELECT page_id, {seniority('title')} AS seniority,
        {seniority("nullif(priority, '1-URGENT')")} AS of_priority
 FROM facts"""
 
-_AFTER_HINT = (
-    f"'({'|'.join(role.OPTIONAL_HINTS)}).{{0,80}}' || regexp_escape(lower(s))"
-)
+def after_hint(x: str, items: str, hints, vocabulary) -> str:
+    """Items that stand within 80 characters after a hint."""
+    tests = ", ".join(
+        f"CASE WHEN list_contains({items}, {quoted(v)}) AND regexp_matches({x}, "
+        f"'({'|'.join(hints)}).{{0,80}}{re.escape(v.lower())}') THEN {quoted(v)} END"
+        for v in vocabulary)
+    return f"list_filter([{tests}], lambda s: s IS NOT NULL)"
 
 
 def _sentence(required: str) -> str:
@@ -228,16 +236,16 @@ def _sentence(required: str) -> str:
                THEN ' The role emphasizes skills such as ' || {top} || '.' ELSE '' END"""
 
 
-def _summary_ctes(text: str) -> str:
+def _summary_ctes(text: str, vocabulary) -> str:
     return f"""graded AS (
   SELECT *, {seniority('title')} AS seniority, {duties(text, role.DUTY_VERBS)} AS duties,
-         list_filter(skills, lambda s: regexp_matches(lower({text}), {_AFTER_HINT})) AS optional
+         {after_hint(f'lower({text})', 'skills', role.OPTIONAL_HINTS, vocabulary)} AS optional
   FROM jobs), split AS (
   SELECT *, list_filter(skills, lambda s: NOT list_contains(optional, s)) AS required
   FROM graded)"""
 
 
-ORACLE_SQL["job_summary"] = f"""{_JOBS}, {_summary_ctes('description_clean')}
+ORACLE_SQL["job_summary"] = f"""{_JOBS}, {_summary_ctes('description_clean', skills.SKILLS)}
 SELECT page_id AS job_id, {_sentence('required')} AS summary, seniority,
        CASE WHEN len(duties) > 0 THEN {joined('duties')}
             ELSE {quoted('|'.join(role.DEFAULT_DUTIES))} END AS duties,
@@ -245,15 +253,16 @@ SELECT page_id AS job_id, {_sentence('required')} AS summary, seniority,
        {joined('list_slice(optional, 1, 4)')} AS optional
 FROM split"""
 
-_DOCUMENT_JOBS = f"""jobs AS (
+_DOCUMENT_JOBS = f"""cleaned AS MATERIALIZED (SELECT *, {clean('text')} AS clean FROM documents),
+jobs AS MATERIALIZED (
   SELECT doc_id AS id, 'https://d.example.com/' || doc_id AS url, source,
          'Text in ' || lang AS title, source AS company, lang AS location,
          text AS description_raw, clean AS description_clean,
          {find_skills('clean', VOCABULARY)} AS skills
-  FROM (SELECT *, {clean('text')} AS clean FROM documents))"""
+  FROM cleaned)"""
 
 ORACLE_SQL["stored_summaries"] = f"""
-WITH {_DOCUMENT_JOBS}, {_summary_ctes('description_clean')}
+WITH {_DOCUMENT_JOBS}, {_summary_ctes('description_clean', VOCABULARY)}
 SELECT id, {_sentence('required')} AS summary FROM split"""
 
 
@@ -340,10 +349,10 @@ SELECT doc_id,
 FROM documents"""
 
 ORACLE_SQL["text_keys"] = f"""
-SELECT doc_id, sha256(lower({strip('upper(text)')})) AS text_key FROM documents"""
+SELECT doc_id, sha256(lower({strip('text')})) AS text_key FROM documents"""
 
 ORACLE_SQL["url_fields"] = r"""
-SELECT page_id, regexp_extract(url, '://([^/?#]*)', 1) AS source,
+SELECT page_id, replace(regexp_extract(url, '://([^/?#]*)', 1), 'www.', '') AS source,
        url LIKE 'http%' AS valid,
        CASE WHEN url LIKE 'https://%' THEN 'a.org:80'
             ELSE 's3:' || url END AS odd_source,
@@ -358,9 +367,9 @@ ORACLE_SQL["responsibilities"] = f"""
 SELECT doc_id, {joined(duties('text', VERBS))} AS duties FROM documents"""
 
 ORACLE_SQL["skill_split"] = f"""
-WITH found AS (SELECT doc_id, text, {find_skills('text', VOCABULARY)} AS s FROM documents),
-split AS (SELECT doc_id, s, list_filter(s, lambda x: regexp_matches(lower(text),
-            '({'|'.join(HINTS)}).{{0,80}}' || lower(x))) AS o FROM found)
+WITH found AS MATERIALIZED (
+  SELECT doc_id, text, {find_skills('text', VOCABULARY)} AS s FROM documents),
+split AS (SELECT doc_id, s, {after_hint('lower(text)', 's', HINTS, VOCABULARY)} AS o FROM found)
 SELECT doc_id, {joined('o')} AS optional,
        {joined('list_filter(s, lambda x: NOT list_contains(o, x))')} AS required
 FROM split"""
@@ -382,15 +391,16 @@ ORACLE_SQL["skills_extract"] = f"""
 SELECT doc_id, {joined(find_skills('text', VOCABULARY))} AS skills FROM documents"""
 
 ORACLE_SQL["skills_json"] = r"""
-SELECT event_id, '["' || event_type || '", "q\"é"]' AS encoded,
+SELECT event_id, '["' || event_type || '", "q\"\u00e9"]' AS encoded,
        event_type || '|None|True|' || user_id || '|x' AS decoded,
        CAST(0 AS INT) AS from_object
 FROM events"""
 
 _ASKED = f"""
-asked AS (SELECT conv_id * 1000 + turn AS candidate_id, conv_id AS job_id,
-  {distinct_ci(f"list_concat([role, 'that'], {find_skills('text', VOCABULARY)})")} AS cand
-  FROM conversations)"""
+stated AS MATERIALIZED (SELECT conv_id * 1000 + turn AS candidate_id, conv_id AS job_id,
+  list_concat([role, 'that'], {find_skills('text', VOCABULARY)}) AS named FROM conversations),
+asked AS MATERIALIZED (
+  SELECT candidate_id, job_id, {distinct_ci('named')} AS cand FROM stated)"""
 
 ORACLE_SQL["candidate_skills"] = f"""
 WITH {_ASKED}
