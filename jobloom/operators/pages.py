@@ -287,6 +287,8 @@ def parse_pages(pages: DataFrame, as_of: Column) -> DataFrame:
     typed = F.coalesce(
         c("_ld_job_type"), head["job_type"],
         labelled_value(c("_full_text"), c("_folded"), JOB_TYPE_LABELS))
+    error = F.when(c("_ld_bad_date"), F.lit("datePosted is not text")).when(
+        out_of_range(c("_date_text"), as_of), F.lit("date value out of range"))
     kept = [c(name) for name in pages.columns if name != "html"]
     return (
         staged.withColumns({"_date_text": date_text, "_location": located})
@@ -299,8 +301,8 @@ def parse_pages(pages: DataFrame, as_of: Column) -> DataFrame:
             relative_time(c("_date_text"), as_of).alias("date_posted"),
             typed.alias("job_type"),
             description(c("_ld"), c("_page")).alias("description_raw"),
-            F.when(c("_ld_bad_date"), F.lit("datePosted is not text"))
-            .when(out_of_range(c("_date_text"), as_of), F.lit("date value out of range"))
-            .alias("parse_error"),
+            # Every consumer filters on this column. As a generated one it stops
+            # that filter from being pushed down, which would parse twice.
+            F.explode(F.array(error)).alias("parse_error"),
         )
     )
