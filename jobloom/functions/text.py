@@ -11,10 +11,10 @@ BLANKS = "".join(map(chr, [
     *range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680,
     *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000,
 ]))
-# The same set as the inside of a regex character class.
+# The same set as the inside of a Java character class. Single characters share
+# one table and the property is one test, where ranges would be tried in turn.
 BLANK_CLASS = (
-    r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
-    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+    r" \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\p{IsWhite_Space}"
 )
 BLANK_RUN = f"[{BLANK_CLASS}]+"
 

@@ -11,6 +11,7 @@ from jobloom.plans.inputs import (
     joined, vector_jobs,
 )
 from jobloom.plans.postings import facts, posting_pages
+from jobloom.sources.shared import shared_copy
 from jobloom.sources.tables import read_pages, read_table, spread
 
 c = F.col
@@ -429,7 +430,7 @@ def letter_prompt(spark: SparkSession, folder: str) -> DataFrame:
 
 def letter_from_url(spark: SparkSession, folder: str) -> DataFrame:
     """A letter for every ad; the older ads are stored already."""
-    jobs = ad_jobs(spark, folder)
+    jobs = shared_copy(ad_jobs(spark, folder))  # both sides read the parse
     known = stored_ads(spark, folder).select("id")
     requests = facts(spark, folder).select(
         c("page_id").alias("request_id"), c("url").alias("job_url"),

@@ -37,7 +37,8 @@ def document_jobs(spark: SparkSession, folder: str) -> DataFrame:
     """Every document as a job of the company `source` at the location `lang`."""
     c = F.col
     docs = spread(read_table(spark, folder, "documents"))
-    docs = docs.withColumn("clean", clean(c("text")))
+    # Generated, so that a filter on it runs after the spread and cleans once.
+    docs = docs.select("*", F.explode(F.array(clean(c("text")))).alias("clean"))
     return as_jobs(
         docs, id=c("doc_id"), url=F.concat(F.lit("https://d.example.com/"), c("doc_id")),
         source=c("source"), title=F.concat(F.lit("Text in "), c("lang")),

@@ -8,11 +8,14 @@ sentence ends are marked before splitting.
 import re
 
 from jobloom.functions import prompts, role, skills
-from jobloom.functions.text import BLANK_CLASS
 from jobloom.plans.inputs import HINTS, VERBS, VOCABULARY
 from jobloom.plans.postings import AS_OF, expected_cte
 
-WS = f"[{BLANK_CLASS}]"
+# Blanks by code point: this regex dialect has no Unicode blank class.
+WS = (
+    r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
+    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+)
 NOT_WORD = r"[^\pL\pM\p{Nd}\p{Pc}]"
 
 
