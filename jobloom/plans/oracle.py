@@ -101,7 +101,6 @@ def stamp(x: str) -> str:
 AS_OF_SQL = f"TIMESTAMP '{AS_OF}'"
 
 ADS = "WITH " + expected_cte()
-STORED = "ads.ordered_at < TIMESTAMP '1996-01-01 00:00:00'"
 
 
 # --- raw pages -----------------------------------------------------------------
@@ -143,14 +142,6 @@ read AS (
   FROM kept)
 """
 
-# A place is tested with explicit boundaries; digits and accents next to it count.
-_PLACE = rf"(?i)(^|{NOT_WORD})(remote|united states|[A-Za-z]+,{WS}*[A-Z]{{2}})({NOT_WORD}|$)"
-_MODE = rf"(?i)(^|{NOT_WORD})(hybrid|on[- ]site)({NOT_WORD}|$)"
-_DATE = (
-    rf"(?i)(^|{NOT_WORD})[0-9]+{WS}+(minutes?|hours?|days?|weeks?|months?){WS}+ago"
-    rf"({NOT_WORD}|$)"
-)
-
 ORACLE_SQL: dict[str, str] = {}
 
 ORACLE_SQL["page_fields"] = f"""{PAGES}
