@@ -1,23 +1,26 @@
-"""Cutting lineage in storage that outlives an executor."""
+"""Storage that outlives an executor."""
 
+import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_copy(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of an expensive result that several consumers read.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in `spark.checkpoint.dir`. Only a plain
+    local session without one, as in tests, gets a temporary folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="jobloom-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
 
-    The folder is the cluster's `spark.checkpoint.dir`. Only a local session
-    without one, as in tests, gets a temporary folder.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+def shared_copy(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint of an expensive result that several consumers read."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix="jobloom-")
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
