@@ -26,6 +26,46 @@ SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_hit, coalesce(len(items),
 FROM doc LEFT JOIN words USING (r) LEFT JOIN items USING (r)
 """
 
+OP9 = """
+WITH vec AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pair AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM vec q JOIN vec c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM pair) WHERE r <= 10
+"""
+
+OP10 = rf"""
+WITH doc AS (
+  SELECT row_number() OVER () AS r, doc_id, text, string_split(text, chr(10)) AS s FROM documents),
+unit AS (
+  SELECT r, doc_id, i, s[i] AS raw,
+         trim(regexp_replace({_LOWER.replace('text', 's[i]')}, '[\x20\x09-\x0D]+', ' ', 'g')) AS n
+  FROM (SELECT r, doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM doc)),
+placed AS (
+  SELECT *, coalesce(sum(length(raw) + 1) OVER (
+              PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a,
+         n = '' OR row_number() OVER (PARTITION BY n ORDER BY doc_id, i) = 1 AS stays
+  FROM unit),
+made AS (
+  SELECT r, CAST(count(*) FILTER (n <> '') AS INTEGER) AS n_units,
+         CAST(count(*) FILTER (NOT stays) AS INTEGER) AS n_removed,
+         CAST(coalesce(sum(length(raw)) FILTER (NOT stays), 0) AS INTEGER) AS removed_chars,
+         coalesce(string_agg(CAST(a AS BIGINT) || '-' || CAST(a + length(raw) AS BIGINT), ',' ORDER BY i)
+           FILTER (NOT stays), '') AS removed,
+         string_agg(raw, chr(10) ORDER BY i) FILTER (stays) AS kept
+  FROM placed GROUP BY r)
+SELECT doc_id, coalesce(n_units, 0) AS n_units, coalesce(n_removed, 0) AS n_removed,
+       coalesce(removed_chars, 0) AS removed_chars, coalesce(removed, '') AS removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM doc LEFT JOIN made USING (r)
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op4_decontaminate": OP4,
+    "op9_topk": OP9,
+    "op10_lines": OP10,
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from jobloom.llm import decontaminate, mixing
+from jobloom.llm import decontaminate, lines, mixing, simhash, topk
 from jobloom.llm.common import read, staged
 
 
@@ -31,7 +31,33 @@ def op4_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
         (F.col("contamination.n_hit") > 0).alias("contaminated"))
 
 
+def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.near_copies(read(spark, folder, "documents"))
+    return found.select(
+        "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op9_topk(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = topk.integers(read(spark, folder, "embeddings"))
+    return topk.top_k(vectors, vectors.where("vec_id % 100 = 0"))
+
+
+def op10_lines(spark: SparkSession, folder: str) -> DataFrame:
+    found = lines.drop_repeats(read(spark, folder, "documents").select("doc_id", "text"))
+    spans = F.arrays_zip("dedup.removed_starts", "dedup.removed_ends")
+    size = F.transform(spans, lambda s: s["removed_ends"] - s["removed_starts"])
+    return found.select(
+        "doc_id", "dedup.n_units", F.size("dedup.removed_starts").alias("n_removed"),
+        F.aggregate(size, F.lit(0), lambda a, b: a + b).alias("removed_chars"),
+        F.array_join(F.transform(spans, lambda s: F.concat_ws("-", s["removed_starts"], s["removed_ends"])), ","
+                     ).alias("removed"),
+        F.sha2(F.coalesce("dedup.kept_text", F.lit("")), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
     "op4_decontaminate": op4_decontaminate,
+    "op6_simhash": op6_simhash,
+    "op9_topk": op9_topk,
+    "op10_lines": op10_lines,
 }
