@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from jobloom.llm import decontaminate, lines, mixing, simhash, topk
+from jobloom.llm import decontaminate, lines, mixing, quality, simhash, topk
 from jobloom.llm.common import read, staged
 
 
@@ -31,6 +31,13 @@ def op4_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
         (F.col("contamination.n_hit") > 0).alias("contaminated"))
 
 
+def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    model = quality.train(docs, read(spark, folder, "labels"))
+    return quality.classify(docs, model).select(
+        "doc_id", (quality.fold(F.col("doc_id")) == 0).alias("held_out"), "quality_model.score", "quality_model.predicted")
+
+
 def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_copies(read(spark, folder, "documents"))
     return found.select(
@@ -57,6 +64,7 @@ def op10_lines(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
     "op4_decontaminate": op4_decontaminate,
+    "op5_quality": op5_quality,
     "op6_simhash": op6_simhash,
     "op9_topk": op9_topk,
     "op10_lines": op10_lines,
