@@ -26,14 +26,14 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def staged(df: DataFrame) -> DataFrame:
+def staged(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Write to the folder that all executors share, and read again.
 
     Cuts the lineage and keeps an expensive result that has several readers;
     a lost executor costs a reread. Files stay until the folder is cleared.
     """
     path = f"{shared_folder(df.sparkSession)}/jobloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

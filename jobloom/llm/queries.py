@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from jobloom.llm import decontaminate, lines, mixing, quality, simhash, topk
+from jobloom.llm import decontaminate, lines, mixing, quality, simhash, tokens, topk
 from jobloom.llm.common import read, staged
 
 
@@ -44,6 +44,10 @@ def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    return tokens.token_counts(read(spark, folder, "documents"), *tokens.public_ranks())
+
+
 def op9_topk(spark: SparkSession, folder: str) -> DataFrame:
     vectors = topk.integers(read(spark, folder, "embeddings"))
     return topk.top_k(vectors, vectors.where("vec_id % 100 = 0"))
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontaminate": op4_decontaminate,
     "op5_quality": op5_quality,
     "op6_simhash": op6_simhash,
+    "op8_tokens": op8_tokens,
     "op9_topk": op9_topk,
     "op10_lines": op10_lines,
 }
