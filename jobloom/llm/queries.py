@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from jobloom.llm import decontaminate, lines, mixing, quality, simhash, tokens, topk
+from jobloom.llm import decontaminate, lines, lm, mixing, quality, simhash, tokens, topk
 from jobloom.llm.common import read, staged
 
 
+def op1_lm(spark: SparkSession, folder: str) -> DataFrame:
+    return lm.score_texts(read(spark, folder, "documents").select("doc_id", "text"), *tokens.public_ranks())
+
+
 def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
     docs = staged(read(spark, folder, "documents").select(
         "doc_id", "source", mixing.word_count(F.col("text")).alias("words")))
@@ -66,6 +70,7 @@ def op10_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm": op1_lm,
     "op3_mixing": op3_mixing,
     "op4_decontaminate": op4_decontaminate,
     "op5_quality": op5_quality,
