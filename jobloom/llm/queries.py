@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from jobloom.llm import decontaminate, lines, lm, mixing, quality, simhash, tokens, topk
+from jobloom.llm import decontaminate, linejoin, lines, lm, mixing, quality, simhash, tokens, topk
 from jobloom.llm.common import read, staged
 
 
@@ -14,6 +14,14 @@ def op1_lm(spark: SparkSession, folder: str) -> DataFrame:
     return lm.score_texts(read(spark, folder, "documents").select("doc_id", "text"), *tokens.public_ranks())
 
 
+def op2_lines(spark: SparkSession, folder: str) -> DataFrame:
+    found = linejoin.drop_near_lines(read(spark, folder, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id", "near_lines.n_lines", F.size("near_lines.removed").alias("n_removed"),
+        F.array_join("near_lines.removed", ",").alias("removed"),
+        F.sha2(F.coalesce("near_lines.kept_text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
     docs = staged(read(spark, folder, "documents").select(
         "doc_id", "source", mixing.word_count(F.col("text")).alias("words")))
@@ -71,6 +79,7 @@ def op10_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm": op1_lm,
+    "op2_lines": op2_lines,
     "op3_mixing": op3_mixing,
     "op4_decontaminate": op4_decontaminate,
     "op5_quality": op5_quality,
