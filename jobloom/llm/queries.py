@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from jobloom.llm import decontaminate, linejoin, lines, lm, mixing, quality, simhash, tokens, topk
+from jobloom.llm import decontaminate, linejoin, lines, lm, mixing, quality, simhash, substrings, tokens, topk
 from jobloom.llm.common import read, staged
 
 
@@ -56,6 +56,15 @@ def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_substrings(spark: SparkSession, folder: str) -> DataFrame:
+    found = substrings.drop_repeats(read(spark, folder, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id", "substrings.n_bytes",
+        (F.col("substrings.n_bytes") - F.octet_length("substrings.kept")).alias("n_removed"),
+        F.size("substrings.starts").cast("long").alias("n_spans"),
+        F.sha2("substrings.kept", 256).alias("kept_sha256"))
+
+
 def op8_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.token_counts(read(spark, folder, "documents"), *tokens.public_ranks())
 
@@ -84,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontaminate": op4_decontaminate,
     "op5_quality": op5_quality,
     "op6_simhash": op6_simhash,
+    "op7_substrings": op7_substrings,
     "op8_tokens": op8_tokens,
     "op9_topk": op9_topk,
     "op10_lines": op10_lines,
