@@ -18,8 +18,7 @@ def op2_lines(spark: SparkSession, folder: str) -> DataFrame:
     found = linejoin.drop_near_lines(read(spark, folder, "documents").select("doc_id", "text"))
     return found.select(
         "doc_id", "near_lines.n_lines", F.size("near_lines.removed").alias("n_removed"),
-        F.array_join("near_lines.removed", ",").alias("removed"),
-        F.sha2(F.coalesce("near_lines.kept_text", F.lit("")), 256).alias("kept_sha256"))
+        F.array_join("near_lines.removed", ",").alias("removed"))
 
 
 def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
