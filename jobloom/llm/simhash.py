@@ -116,8 +116,11 @@ def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         root = new
 
 
-def _compared(radius: int, limit: int = TILE_ROWS):
-    """Rows sorted by tile and part, those at home first -> links, and the rows of tiles too large."""
+def _compared(radius: int, round_: int):
+    """Rows sorted by tile and part, those at home first -> links, and the rows of tiles too large, dealt
+    out in another way in each round."""
+    limit = TILE_ROWS
+
     def links(fp: np.ndarray, homes: int, since: int):
         """Of the rows from `since` on, each with the rows at home before it."""
         if homes == 0 or since >= len(fp):
@@ -147,24 +150,26 @@ def _compared(radius: int, limit: int = TILE_ROWS):
     def row_batch(a, b, tile=0, part=0, home=False):
         full = lambda x, kind: pa.array(np.broadcast_to(np.asarray(x, kind), len(a)))
         return pa.RecordBatch.from_arrays(
-            [full(tile, np.int64), full(part, np.int32), full(home, bool), pa.array(a),
-             pa.nulls(len(a), pa.int64()) if b is None else pa.array(b)], names=["tile", "part", "home", "a", "b"])
+            [full(tile, np.int64), full(part, np.int32), full(home, bool), pa.array(a.view(np.int64)),
+             pa.nulls(len(a), pa.int64()) if b is None else pa.array(b.view(np.int64))],
+            names=["tile", "part", "home", "a", "b"])
 
-    def spread(fp, home, tile):
+    def spread(fp, home, key):
         """A large tile's rows, each to the parts where it must be compared."""
-        own = ((fp.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % PARTS
+        mixed = (fp + np.uint64(round_)) * np.uint64(0x9E3779B97F4A7C15)
+        own = (mixed >> np.uint64(40)).astype(np.int64) % PARTS
         for part in range(PARTS):
             to = ~home | (own >= part)
-            yield row_batch(fp[to], None, tile, part, home[to] & (own[to] == part))
+            yield row_batch(fp[to], None, key, part, home[to] & (own[to] == part))
 
-    def whole(tile, fp, home, first, sizes, met):
+    def whole(key, fp, home, first, sizes, met):
         """Complete tiles; `met` says that the homes of the first one have been compared."""
         homes = np.add.reduceat(home.astype(np.int64), first)
         few = (homes < 64) & (homes > 0)
         for g in np.flatnonzero(~few & (homes > 0)):
             own = slice(first[g], first[g] + sizes[g])
             if homes[g] > limit:
-                yield from spread(fp[own], home[own], tile[first[g]])
+                yield from spread(fp[own], home[own], key[first[g]])
             else:
                 for a, b in links(fp[own], int(homes[g]), int(homes[g]) if met and g == 0 else 0):
                     yield row_batch(a, b)
@@ -177,38 +182,41 @@ def _compared(radius: int, limit: int = TILE_ROWS):
         carried, met, large = None, False, None  # the rows of the tile that may go on
         for batch in batches:
             tile, part, fp, home = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("tile", "part", "fp", "home"))
-            rows = [tile * 256 + part, tile, fp, home.astype(bool)]
+            # bit counts of signed numbers would be those of their absolute values
+            rows = [tile * PARTS + part, fp.astype(np.int64).view(np.uint64), home.astype(bool)]
             if large is not None:
                 stay = len(fp) if (same := rows[0] == large).all() else int(np.argmin(same))
-                yield from spread(fp[:stay], rows[3][:stay], tile[0] if stay else 0)
+                yield from spread(rows[1][:stay], rows[2][:stay], large)
                 rows = [x[stay:] for x in rows]
                 if not len(rows[0]):
                     continue
                 large = None
             if carried is not None:
                 rows = [np.concatenate(x) for x in zip(carried, rows)]
-            key, tile, fp, home = rows
+            key, fp, home = rows
             if not len(key):
                 continue
             first = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1])
             last = int(first[-1])
             if last:
-                yield from whole(tile[:last], fp[:last], home[:last], first[:-1], np.diff(first), met)
+                yield from whole(key[:last], fp[:last], home[:last], first[:-1], np.diff(first), met)
                 met = False
             carried = [x[last:] for x in rows]
             if len(carried[0]) > 8 * limit:
-                key, tile, fp, home = carried
+                key, fp, home = carried
                 homes = int(home.sum())
                 if homes > limit:
-                    yield from spread(fp, home, tile[0])
+                    yield from spread(fp, home, key[0])
                     large, carried = key[0], None
+                elif not homes:  # nothing to meet
+                    carried = None
                 elif homes < len(fp):  # all homes are here, so these visitors can go
                     for a, b in links(fp, homes, homes if met else 0):
                         yield row_batch(a, b)
                     carried, met = [x[:homes] for x in carried], True
         if carried is not None and len(carried[0]):
-            key, tile, fp, home = carried
-            yield from whole(tile, fp, home, np.array([0]), np.array([len(fp)]), met)
+            key, fp, home = carried
+            yield from whole(key, fp, home, np.array([0]), np.array([len(fp)]), met)
 
     return compare
 
@@ -216,15 +224,16 @@ def _compared(radius: int, limit: int = TILE_ROWS):
 def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Distinct fingerprints (fp) -> links (a, b) that join all those within the radius."""
     visits = prints.select("fp").mapInArrow(_dealt(radius), _VISIT)
-    found = None
+    found, round_ = None, 0
     while True:
         sorted_ = visits.repartition("tile", "part").sortWithinPartitions("tile", "part", F.col("home").desc())
-        out = staged(sorted_.mapInArrow(_compared(radius), _FOUND))
+        out = staged(sorted_.mapInArrow(_compared(radius, round_), _FOUND))
         edges = out.where("b is not null").select("a", "b")
         found = edges if found is None else found.union(edges)
         deferred = out.where("b is null")
         if deferred.isEmpty():
             return found
+        round_ += 1
         visits = deferred.select("tile", "part", "home", F.col("a").alias("fp"))
 
 
