@@ -1,0 +1,31 @@
+import pytest
+
+from tests.conftest import session
+
+
+@pytest.fixture(scope="session")
+def spark():
+    return session()
+
+
+#: Nulls, empty and very long texts, ties, repeated rows, and columns that clash with results.
+EDGE = [
+    (1, "The cat sat on the mat.\nThe dog ran.", "a"), (2, None, "a"), (3, "", None), (4, " \n\t ", "b"),
+    (5, "the cat sat on the mat.\nAnother line here", "b"), (6, "été ñandú ÅÅ über " * 3, None),
+    (7, "word " * 60_000, "c"), (8, "x" * 120_000, "c"), (9, "The cat sat on the mat.\nThe dog ran.", "a"),
+    (9, "The cat sat on the mat.\nThe dog ran.", "a"), (None, "no id at all here", "a"), (11, "a", "a")]
+CLASHES = ("mix", "contamination", "quality_model", "fingerprint", "component_id", "dedup", "near_lines",
+           "substrings", "n_words", "use", "anchor", "size")
+
+
+@pytest.fixture(scope="session")
+def edge(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame(EDGE, "doc_id long, text string, source string")
+    return docs.withColumns({c: F.lit(7) for c in CLASHES})
+
+
+@pytest.fixture(scope="session")
+def none(spark):
+    return spark.createDataFrame([], "doc_id long, text string, source string")
