@@ -45,6 +45,11 @@ def decode_entities(page: Column) -> Column:
     ).otherwise(t))
 
 
+def without_marks(page: Column) -> Column:
+    """A raw page may hold the characters that are used as marks here; they go."""
+    return F.translate(page, "\x01" + _STAND_INS, "")
+
+
 def shown(text: Column) -> Column:
     return F.translate(text, _STAND_INS, _MARKUP)
 

@@ -19,6 +19,9 @@ def _ascii_escape(json_text: Column) -> Column:
 
 def _json_string(item: Column) -> Column:
     quoted = F.to_json(F.array(item))
+    for digit in "ABCDEF":  # control characters, in lower-case hex
+        quoted = F.regexp_replace(
+            quoted, rf"(?<!\\)((?:\\\\)*\\u00[01]){digit}", "$1" + digit.lower())
     return _ascii_escape(F.substr(quoted, F.lit(2), F.length(quoted) - 2))
 
 

@@ -6,7 +6,7 @@ the first closing tag, and an unclosed one runs to the end of the page.
 
 from pyspark.sql import Column, functions as F
 
-from jobloom.functions.entities import decode_entities, shown
+from jobloom.functions.entities import decode_entities, shown, without_marks
 from jobloom.functions.text import BLANK_RUN, bind, collapse, empty_to_null, strip
 
 # Inside of a tag: '>' may occur in a quoted value, but a quote only counts
@@ -16,6 +16,8 @@ _TAG = rf"<[a-zA-Z/!?]{_IN_TAG}>"
 _COMMENT = r"<!--.*?(?:-->|\z)"
 # Separates text nodes; never part of page text.
 _NODE = "\x01"
+# What ends an element's name, so that <nav-item> is not <nav>.
+_NAME_END = r"(?=[\s/>])"
 
 # Elements whose text is not shown, and those left out of a body
 # description on top of them.
@@ -26,13 +28,13 @@ BOILERPLATE = ["noscript", "header", "footer", "nav"]
 def _element(names: list[str]) -> str:
     """Comment or whole element, so that neither is searched for the other."""
     tags = "|".join(names)
-    return rf"(?is){_COMMENT}|<({tags})\b{_IN_TAG}>.*?(?:</\1\s*>|\z)"
+    return rf"(?is){_COMMENT}|<({tags}){_NAME_END}{_IN_TAG}>.*?(?:</\1\s*>|\z)"
 
 
 def readable(page: Column) -> Column:
     """The page without comments and unseen elements, references decoded. All
     functions below take this form; only JSON-LD is read from the raw page."""
-    return decode_entities(F.regexp_replace(page, _element(UNSEEN), _NODE))
+    return decode_entities(F.regexp_replace(without_marks(page), _element(UNSEEN), _NODE))
 
 
 def text_nodes(fragment: Column) -> Column:
@@ -50,7 +52,7 @@ def inner(fragment: Column, name: str) -> Column:
     """Content of the first such element; NULL when there is none."""
     found = F.regexp_extract_all(
         fragment,
-        F.lit(rf"(?is)<{name}\b{_IN_TAG}>(.*?)(?:</{name}\s*>|\z)"), F.lit(1))
+        F.lit(rf"(?is)<{name}{_NAME_END}{_IN_TAG}>(.*?)(?:</{name}\s*>|\z)"), F.lit(1))
     return F.try_element_at(found, F.lit(1))
 
 
@@ -79,7 +81,7 @@ def _attribute(tag: Column, name: str) -> Column:
 
 def meta_tags(page: Column) -> Column:
     """array<struct<property, name, content>> of the page's meta tags."""
-    tags = F.regexp_extract_all(page, F.lit(rf"(?i)<meta\b{_IN_TAG}>"), F.lit(0))
+    tags = F.regexp_extract_all(page, F.lit(rf"(?i)<meta{_NAME_END}{_IN_TAG}>"), F.lit(0))
     return F.transform(tags, lambda t: F.struct(
         _attribute(t, "property").alias("property"),
         _attribute(t, "name").alias("name"),
@@ -101,15 +103,15 @@ def json_ld_blocks(page: Column) -> Column:
     """Bodies of the ld+json scripts, in document order."""
     scripts = F.filter(
         F.regexp_extract_all(page, F.lit(_element(UNSEEN)), F.lit(0)),
-        lambda e: e.rlike(r"(?i)^<script\b"),
+        lambda e: e.rlike(rf"(?i)^<script{_NAME_END}"),
     )
     typed = F.filter(
         scripts,
-        lambda s: _attribute(F.regexp_extract(s, rf"(?i)^<script\b{_IN_TAG}>", 0), "type")
+        lambda s: _attribute(F.regexp_extract(s, rf"(?i)^<script{_NAME_END}{_IN_TAG}>", 0), "type")
         == "application/ld+json",
     )
     return F.transform(typed, lambda s: F.regexp_extract(
-        s, rf"(?is)^<script\b{_IN_TAG}>(.*?)(?:</script\s*>)?$", 1))
+        s, rf"(?is)^<script{_NAME_END}{_IN_TAG}>(.*?)(?:</script\s*>)?$", 1))
 
 
 def job_posting(page: Column) -> Column:

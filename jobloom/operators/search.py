@@ -53,10 +53,19 @@ def filter_jobs(
 ) -> DataFrame:
     """Case-insensitive substring filters of the match request. The input is
     not stripped, and its % and _ stay wildcards; NULL never passes."""
+    return jobs.where(passes(location, company, job_type))
+
+
+def passes(
+    location: str | None = None, company: str | None = None, job_type: str | None = None,
+) -> Column:
+    """The condition of `filter_jobs`. A backslash in the input is an ordinary character."""
+    found = F.lit(True)
     for name, wanted in (("location", location), ("company", company), ("job_type", job_type)):
         if wanted:
-            jobs = jobs.where(F.col(name).ilike(f"%{wanted}%"))
-    return jobs
+            quoted = wanted.replace("\\", "\\\\")
+            found = found & F.coalesce(F.col(name).ilike(f"%{quoted}%"), F.lit(False))
+    return found
 
 
 def lookup(ids: DataFrame, jobs: DataFrame) -> DataFrame:

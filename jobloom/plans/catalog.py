@@ -372,7 +372,8 @@ def semantic_match(spark: SparkSession, folder: str) -> DataFrame:
         c("id").alias("candidate_id"), "embedding",
         F.lit(None).cast("string").alias("location"), F.lit("").alias("company"),
         F.when(kind >= "type-5", F.upper(kind)).alias("job_type"),
-        F.when(kind != "type-7", F.lit(3) + F.substr(kind, F.lit(6)).cast("int")).alias("top_k"))
+        F.when(kind == "type-9", 51)
+        .when(kind != "type-7", F.lit(3) + F.substr(kind, F.lit(6)).cast("int")).alias("top_k"))
     return matching.match_many(vector_jobs(spark, folder), candidates)
 
 

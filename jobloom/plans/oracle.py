@@ -472,15 +472,18 @@ WITH pairs AS (
          CASE WHEN a.label = 7 THEN 10 ELSE 3 + a.label END AS top_k,
          round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 4) + 0.0
            AS similarity_score
-  FROM embeddings a JOIN embeddings b ON a.label < 5 OR a.label = b.label),
+  FROM embeddings a JOIN embeddings b ON a.label < 5 OR a.label = b.label WHERE a.label <> 9),
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY candidate_id
                                ORDER BY similarity_score DESC, job_id) AS rank,
          count(*) OVER (PARTITION BY candidate_id) AS total_candidates
   FROM pairs)
 SELECT candidate_id, CAST(rank AS INT) AS rank, similarity_score,
-       CAST(NULL AS VARCHAR) AS match_reason, job_id, total_candidates
-FROM ranked WHERE rank <= top_k"""
+       CAST(NULL AS VARCHAR) AS match_reason, job_id, total_candidates,
+       CAST(NULL AS VARCHAR) AS reject_reason
+FROM ranked WHERE rank <= top_k
+UNION ALL
+SELECT vec_id, NULL, NULL, NULL, NULL, 0, 'top_k must be between 1 and 50' FROM embeddings WHERE label = 9"""
 
 ORACLE_SQL["match_one"] = f"""
 SELECT vec_id AS job_id, round(list_cosine_similarity(embedding::DOUBLE[],

@@ -8,14 +8,13 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use every core on input that arrives in fewer splits than there are
-    cores (one small file). A large input already has more and is not moved."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """A table's rows over `spark.sql.shuffle.partitions` tasks, for tables in few
+    files whose rows are costly to work on. Only planned here; nothing runs."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def read_pages(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """Fetched pages (page_id, url, html). A url without a row, or with a NULL
     html, is a fetch that failed."""
     reader = spark.read if schema is None else spark.read.schema(schema)
-    return spread(reader.parquet(path))
+    return reader.parquet(path)

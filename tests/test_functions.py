@@ -103,15 +103,15 @@ EIGHT = ["A", "B", "C", "D", "E", "F", "G", "H"]
 
 
 @pytest.mark.parametrize("job, candidate, score, note", [
-    (["Python", "FastAPI", "Docker"], ["Python", "FastAPI", "Docker"], 100, "Strong"),
-    (["Kubernetes", "Go"], ["Python", "React"], 0, "Low"),
-    (["Python", "Docker", "AWS", "Kubernetes"], ["Python", "Docker"], 50, "Moderate"),
-    ([], ["b", "A"], 0, "low confidence"),
-    (["Python", "AWS"], [], 0, "Low"),
-    (["Python", "Docker"], ["python", "DOCKER", "Docker "], 100, "Strong"),
+    (EIGHT[:5], EIGHT[:5], 100, "Strong"),
+    (["Rust", "Scala"], ["Perl"], 0, "Low"),
+    (EIGHT[:6], ["F", "D", "B"], 50, "Moderate"),
+    ([], ["z", "Y"], 0, "low confidence"),
+    (["Rust"], [], 0, "Low"),
+    (["Scala", "Rust"], ["scala", "RUST", "Rust "], 100, "Strong"),
     (EIGHT[:7], ["A"], 14, "Partial"),
     (EIGHT, ["A"], 12, "Partial"),
-    (["Python", "FastAPI", "Docker"], ["Python", "Docker"], 67, "Moderate"),
+    (["Scala", "Rust", "Perl"], ["Perl", "Scala"], 67, "Moderate"),
 ])
 def test_fit(spark, job, candidate, score, note):
     df = spark.createDataFrame(
@@ -135,3 +135,24 @@ def test_query_and_job_text(spark):
     job["skills"] = F.lit(None).cast("array<string>")
     shown = spark.range(1).select(prompts.job_text(job)).first()[0].split("\n")
     assert len(shown) == 8 and shown[0] == "Title: " and shown[-1] == "Description:"
+
+
+def test_optional_skills_of_any_length(spark):
+    from jobloom.functions.role import optional_skills
+
+    long = "y" * 300
+    rows = [("plus: foo\nbar", ["foo\nbar", "bar"]), ("plus " + "x" * 75 + "git", ["git"]),
+            ("plus " + "x" * 80 + "git", ["git"]), (f"bonus {long}", [long, long + "z"]), ("plus a\\Eb", ["a\\Eb"])]
+    df = spark.createDataFrame(rows, "t string, s array<string>")
+    found = [r[0] for r in df.select(optional_skills(F.col("t"), F.col("s"))).collect()]
+    assert found == [["foo\nbar"], ["git"], [], [long], ["a\\Eb"]]
+
+
+def test_json_control_characters_in_lower_hex(spark):
+    from jobloom.functions.jsontext import encode_list
+
+    rows = [(["a\x1fb\x0b", "\\u001F", "\\\x1f"],)]
+    import json
+
+    found = spark.createDataFrame(rows, "s array<string>").select(encode_list(F.col("s"))).first()[0]
+    assert found == json.dumps(rows[0][0])
