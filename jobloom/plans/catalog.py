@@ -1,6 +1,6 @@
 """Registered queries. Each reads whole tables and returns a DataFrame."""
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from jobloom.functions import jsontext, role, skills, text, vectors
 from jobloom.functions.when import out_of_range, relative_time
@@ -362,7 +362,15 @@ def backfill(spark: SparkSession, folder: str) -> DataFrame:
     """State of every job's vector after one backfill."""
     done = embedding.backfilled(
         _partly_embedded(spark, folder), embedding.hashing_embedder(8), 8)
-    return done.select("id", F.size("embedding").alias("width"))
+    return done.select("id", F.size("embedding").alias("width"), F.when(
+        F.size("embedding") > 8, _weighted(c("embedding"))).alias("kept"),
+        F.when(F.size("embedding") == 8, F.round(vectors.norm(c("embedding")), 4)).alias("norm"))
+
+
+def _weighted(vector: Column) -> Column:
+    """Tells vectors apart: the sum of values times their positions from 1."""
+    return F.round(vectors.dot(
+        vectors.as_doubles(vector), F.transform(vector, lambda x, i: (i + 1).cast("double"))), 3)
 
 
 def semantic_match(spark: SparkSession, folder: str) -> DataFrame:
@@ -401,7 +409,8 @@ def embed_once(spark: SparkSession, folder: str) -> DataFrame:
         text.text_key(c("text")).alias("text_key"),
         F.array(F.lit(-1.0)).alias("embedding"), (as_of() - age).alias("embedded_at"))
     found = embedding.embed_once(texts, cached, embedding.hashing_embedder(16), as_of(), 16)
-    return found.select("id", "text_key", F.size("embedding").alias("width"))
+    return found.select("id", "text_key", F.size("embedding").alias("width"),
+                        _weighted(c("embedding")).alias("weighted"))
 
 
 # --- prompts -------------------------------------------------------------------
@@ -442,10 +451,10 @@ def letter_from_url(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def explain_prompt(spark: SparkSession, folder: str) -> DataFrame:
-    """Each turn explained against the turn that follows it."""
+    """Each turn explained against the turn that follows it, the last one against nothing."""
     turns = read_table(spark, folder, "conversations")
     answers = turns.select("conv_id", (c("turn") - 1).alias("turn"), c("text").alias("job_text"))
-    pairs = turns.withColumnRenamed("text", "resume_text").join(answers, ["conv_id", "turn"])
+    pairs = turns.withColumnRenamed("text", "resume_text").join(answers, ["conv_id", "turn"], "left")
     return letters.explain_prompts(pairs).select("conv_id", "turn", "prompt")
 
 

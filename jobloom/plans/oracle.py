@@ -464,7 +464,10 @@ SELECT vec_id AS id, 'type-' || label AS job_type FROM embeddings WHERE label IN
 
 ORACLE_SQL["backfill"] = """
 SELECT vec_id AS id, CAST(CASE WHEN label IN (1, 2) THEN 8 WHEN label = 9 THEN 0
-         ELSE len(embedding) END AS INT) AS width FROM embeddings"""
+         ELSE len(embedding) END AS INT) AS width,
+       CASE WHEN label NOT IN (1, 2, 9) THEN round(list_dot_product(embedding::DOUBLE[],
+         range(1, len(embedding) + 1)::DOUBLE[]), 3) END AS kept,
+       CASE WHEN label IN (1, 2) THEN 1.0::DOUBLE END AS norm FROM embeddings"""
 
 ORACLE_SQL["semantic_match"] = """
 WITH pairs AS (
@@ -502,9 +505,17 @@ SELECT id, pos, round(n / sqrt(sum(n * n) OVER (PARTITION BY id)), 4) AS value F
 ORACLE_SQL["embed_once"] = f"""
 WITH keyed AS (SELECT doc_id AS id, sha256(lower({strip('text')})) AS text_key FROM documents),
 cached AS (SELECT DISTINCT text_key FROM keyed JOIN labels ON id = doc_id
-           WHERE quality = 1 AND toxic = 0)
-SELECT id, text_key, CAST(CASE WHEN c.text_key IS NULL THEN 16 ELSE 1 END AS INT) AS width
-FROM keyed LEFT JOIN cached c USING (text_key)"""
+           WHERE quality = 1 AND toxic = 0),
+words AS (
+  SELECT doc_id AS id, md5(unnest(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS digest
+  FROM documents),
+placed AS (
+  SELECT id, CAST('0x' || substr(digest, 1, 8) AS BIGINT) % 16 AS pos, count(*) AS n
+  FROM words GROUP BY ALL),
+made AS (SELECT id, sum((pos + 1) * n) / sqrt(sum(n * n)) AS weighted FROM placed GROUP BY id)
+SELECT id, text_key, CAST(CASE WHEN c.text_key IS NULL THEN 16 ELSE 1 END AS INT) AS width,
+       CASE WHEN c.text_key IS NULL THEN round(coalesce(weighted, 0.0), 3) ELSE -1.0 END::DOUBLE AS weighted
+FROM keyed LEFT JOIN cached c USING (text_key) LEFT JOIN made USING (id)"""
 
 
 # --- prompts -------------------------------------------------------------------
@@ -566,6 +577,6 @@ FROM met"""
 
 ORACLE_SQL["explain_prompt"] = """
 SELECT a.conv_id, a.turn,
-       'Resume:' || chr(10) || a.text || chr(10) || chr(10) || 'Job:' || chr(10) || b.text
-         AS prompt
-FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1"""
+       'Resume:' || chr(10) || a.text || chr(10) || chr(10) || 'Job:' || chr(10) ||
+         coalesce(b.text, '') AS prompt
+FROM conversations a LEFT JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1"""
