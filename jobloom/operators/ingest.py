@@ -64,10 +64,15 @@ def wanted_urls(requests: DataFrame) -> DataFrame:
 
 
 def new_pages(urls: DataFrame, stored: DataFrame, pages: DataFrame) -> DataFrame:
-    """Pages to parse: requested, valid, not stored, fetched."""
+    """Pages to parse: requested, valid, not stored, fetched; of each url the
+    newest. Urls are settled on narrow columns, and html moves once, by id."""
     wanted = urls.where("valid").join(stored.select("url"), "url", "left_anti")
-    fetched = latest_pages(pages.where(F.col("html").isNotNull()))
-    return fetched.join(wanted.select("url"), "url", "left_semi")
+    newest = (
+        pages.where(F.col("html").isNotNull()).select("url", "page_id")
+        .join(wanted.select("url"), "url", "left_semi")
+        .groupBy("url").agg(F.max("page_id").alias("page_id"))
+    )
+    return pages.join(newest.select("page_id"), "page_id", "left_semi")
 
 
 def url_outcomes(
