@@ -2,7 +2,7 @@
 
 from pyspark.sql import Column, functions as F
 
-from jobloom.functions.lists import empty_strings, stripped
+from jobloom.functions.lists import stripped
 
 
 def _ascii_escape(json_text: Column) -> Column:
@@ -73,6 +73,6 @@ def decode_vector(json_text: Column) -> Column:
 
 
 __all__ = [
-    "decode_skills", "decode_vector", "empty_strings", "encode_list",
+    "decode_skills", "decode_vector", "encode_list",
     "truthy", "variant_kind", "variant_text",
 ]

@@ -34,7 +34,7 @@ JOB_TYPE_LABELS = ["Employment type", "Job type", "Full/Part-Time", "Schedule"]
 COMPANY_WINDOW = 7
 HEADER_WINDOW = 11
 MAX_COMPANY_LINE = 60
-MAX_HEADER_COMPANY = 119
+MAX_HEADER_COMPANY = 120
 MAX_LOCATION = 60
 MAX_LABELLED = 80
 
@@ -170,7 +170,7 @@ def header_rest(nearby: Column, company: Column) -> Column:
     def takes_company(line: Column) -> Column:
         low = F.lower(line)
         return (
-            (F.length(line) <= MAX_HEADER_COMPANY)
+            (F.length(line) < MAX_HEADER_COMPANY)
             & ~F.contains(low, F.lit("applicant"))
             & ~F.contains(low, F.lit("ago"))  # plain substring: "Chicago" too
             & ~line.rlike(HEADER_PLACE)
