@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from jobloom.llm import decontaminate, linejoin, lines, lm, mixing, quality, simhash, substrings, tokens, topk
+from jobloom.llm import (
+    codes, decontaminate, importance, linejoin, lines, lm, mixing, packing, quality, simhash, substrings, tokens, topk)
 from jobloom.llm.common import read, staged
 
 
@@ -85,6 +86,31 @@ def op10_lines(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.coalesce("dedup.kept_text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op11_importance(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    found = importance.importance(docs, read(spark, folder, "benchmark"))
+    return importance.draw(found.drop("text")).select(
+        "doc_id", "importance.n_features", "importance.weight", "importance.score", "importance.rank")
+
+
+def op12_codes(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = read(spark, folder, "embeddings").select("vec_id", "embedding", "label")
+    books = codes.train(vectors)
+    found = staged(codes.encode(vectors, books).select("vec_id", "label", "code.codes", "code.error"))
+    by_label = found.groupBy(F.col("label").alias("of")).agg(F.sum("error").alias("label_error"))
+    digits = F.transform("codes", lambda c: F.lower(F.lpad(F.hex(c), 2, "0")))
+    return found.join(by_label, F.col("label").eqNullSafe(F.col("of"))).select(
+        "vec_id", F.array_join(digits, "").alias("code"), "error", "label_error",
+        F.lit(codes.digest(books)).alias("codebooks_sha256"))
+
+
+def op13_packing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    found = packing.pieces(docs, packing.public_vocabulary()).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return packing.place(staged(found)).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm": op1_lm,
     "op2_lines": op2_lines,
@@ -96,4 +122,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_tokens": op8_tokens,
     "op9_topk": op9_topk,
     "op10_lines": op10_lines,
+    "op11_importance": op11_importance,
+    "op12_codes": op12_codes,
+    "op13_packing": op13_packing,
 }
