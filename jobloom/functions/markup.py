@@ -1,7 +1,10 @@
 """Reading HTML with native regex and array functions; no DOM, no row UDF.
 
-Limits that come with regex: an element nested in one of the same name ends at
-the first closing tag, and an unclosed one runs to the end of the page.
+Elements to leave out end where a lenient reader ends them: a nested one of the same
+name does not end the outer one, and an unclosed one ends with the element around it. Pages
+where that needs no stack, nearly all, are read with one regex; for the others
+the open elements are followed from tag to tag. What is read from the heading and
+title still ends at the first closing tag.
 """
 
 from pyspark.sql import Column, functions as F
@@ -19,10 +22,15 @@ _NODE = "\x01"
 # What ends an element's name, so that <nav-item> is not <nav>.
 _NAME_END = r"(?=[\s/>])"
 
-# Elements whose text is not shown, and those left out of a body
-# description on top of them.
-UNSEEN = ["script", "style", "template", "rt", "rp"]
+# Elements whose content is not markup, those whose text is not shown, those left out of a body
+# description on top of them, and those that have no content.
+RAW = ["script", "style"]
+UNSEEN = ["template", "rt", "rp"]
 BOILERPLATE = ["noscript", "header", "footer", "nav"]
+VOID = [
+    "area", "base", "br", "col", "embed", "hr", "img", "input", "keygen", "link", "menuitem", "meta", "param",
+    "source", "track", "wbr", "basefont", "bgsound", "command", "frame", "image", "isindex", "nextid", "spacer",
+]
 
 
 def _element(names: list[str]) -> str:
@@ -34,7 +42,59 @@ def _element(names: list[str]) -> str:
 def readable(page: Column) -> Column:
     """The page without comments and unseen elements, references decoded. All
     functions below take this form; only JSON-LD is read from the raw page."""
-    return decode_entities(F.regexp_replace(without_marks(page), _element(UNSEEN), _NODE))
+    plain = F.regexp_replace(without_marks(page), _element(RAW), _NODE)
+    return decode_entities(bind(plain, lambda p: without(p, UNSEEN)))
+
+
+def without(page: Column, names: list[str]) -> Column:
+    """The page, which has no comments or raw elements any more, without the elements of these names."""
+    marks = F.regexp_extract_all(page, F.lit(rf"(?i)</?(?:{'|'.join(names)}){_NAME_END}"), F.lit(0))
+    # One after the other, at most with elements of other names inside.
+    flat = r"^(?:<(\w+) (?:<(?!\1 )(\w+) </\2 )*</\1 )*$"
+    return bind(F.lower(F.array_join(F.transform(marks, lambda m: F.concat(m, F.lit(" "))), "")), lambda order: (
+        F.when(order == "", page)
+        .when(order.rlike(flat), F.regexp_replace(page, _element(names), _NODE))
+        .otherwise(_cut_out(page, names))))
+
+
+def _named(**fields: Column) -> Column:
+    """A struct; aliases do not survive several lambdas."""
+    return F.named_struct(*[x for name, value in fields.items() for x in (F.lit(name), value)])
+
+
+def _cut_out(page: Column, names: list[str]) -> Column:
+    """As `without`, by the stack of open elements. A closing tag closes the last open element of its
+    name and all inside it; one that has none is ignored."""
+    tags = F.regexp_extract_all(page, F.lit(_TAG), F.lit(0))
+    read = F.transform(tags, lambda t, i: _named(
+        name=F.lower(F.regexp_extract(t, r"^</?([a-zA-Z][^\s/>]*)", 1)),
+        closes=F.startswith(t, F.lit("</")), alone=t.rlike("/>$"), at=i + 1))
+    # `turns`: the tags at which what follows ceases to be shown or is shown again.
+    start = _named(open=F.array().cast("array<string>"), hidden=F.lit(0), turns=F.array().cast("array<int>"))
+
+    def follow(state: Column, tag: Column) -> Column:
+        opened, hidden = state["open"], state["hidden"]
+        none = (tag["name"] == "") | tag["name"].isin(VOID) | (tag["alone"] & ~tag["closes"])
+        # The last open element of that name, counted from the end; 0 for none.
+        back = F.array_position(F.reverse(opened), tag["name"]).cast("int")
+        at = F.when(back > 0, F.size(opened) - back + 1).otherwise(F.lit(0))
+        left = F.when(none | (tag["closes"] & (at == 0)), opened).when(
+            tag["closes"], F.slice(opened, F.lit(1), F.greatest(at - 1, F.lit(0)))).otherwise(
+            F.array_append(opened, tag["name"]))
+        now = F.when(none, hidden).when(
+            tag["closes"], F.when((at > 0) & (at <= hidden), F.lit(0)).otherwise(hidden)).when(
+            (hidden == 0) & tag["name"].isin(names), F.size(opened) + 1).otherwise(hidden)
+        turns = F.when((hidden == 0) != (now == 0), F.array_append(state["turns"], tag["at"])).otherwise(state["turns"])
+        return _named(open=left, hidden=now, turns=turns)
+
+    parts = F.zip_with(tags, F.slice(F.split(page, _TAG, -1), F.lit(2), F.size(tags)), lambda tag, text: F.concat(tag, text))
+    ends = F.concat(F.array(F.lit(1)), F.aggregate(read, start, follow)["turns"], F.array(F.size(tags) + 1))
+    return bind(_named(head=F.element_at(F.split(page, _TAG, -1), 1), parts=parts, ends=ends), lambda p: F.concat(
+        p["head"], F.array_join(F.transform(
+            F.sequence(F.lit(1), F.floor(F.size(p["ends"]) / 2).cast("int")),
+            lambda k: F.array_join(F.slice(
+                p["parts"], F.element_at(p["ends"], 2 * k - 1),
+                F.element_at(p["ends"], 2 * k) - F.element_at(p["ends"], 2 * k - 1)), "")), _NODE)))
 
 
 def text_nodes(fragment: Column) -> Column:
@@ -66,8 +126,7 @@ def first_text(fragment: Column, name: str) -> tuple[Column, Column]:
 def body_text(page: Column) -> Column:
     """Text of the body without boilerplate, or of everything when there is no
     body."""
-    kept = F.regexp_replace(page, _element(BOILERPLATE), _NODE)
-    content = bind(kept, lambda p: F.coalesce(inner(p, "body"), p))
+    content = bind(without(page, BOILERPLATE), lambda p: F.coalesce(inner(p, "body"), p))
     return F.array_join(text_nodes(content), " ")
 
 
@@ -102,7 +161,7 @@ def meta_content(metas: Column, key: str) -> Column:
 def json_ld_blocks(page: Column) -> Column:
     """Bodies of the ld+json scripts, in document order."""
     scripts = F.filter(
-        F.regexp_extract_all(page, F.lit(_element(UNSEEN)), F.lit(0)),
+        F.regexp_extract_all(page, F.lit(_element([*RAW, *UNSEEN])), F.lit(0)),
         lambda e: e.rlike(rf"(?i)^<script{_NAME_END}"),
     )
     typed = F.filter(

@@ -246,11 +246,18 @@ def page_lines(pages: DataFrame) -> DataFrame:
     )
 
 
+def with_posting(pages: DataFrame) -> DataFrame:
+    """Adds `_ld`, the JobPosting block. Of a repeated key the last value counts, which is a
+    setting of the session; it is made here, and holds for all JSON that the session reads as VARIANT."""
+    pages.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    return pages.withColumn("_ld", markup.job_posting(F.col("html")))
+
+
 def json_ld_fields(pages: DataFrame) -> DataFrame:
     """Adds `_ld` and what the JobPosting block alone says about each field."""
     ld = F.col("_ld")
     date, bad_date = ld_date(ld)
-    staged = pages.withColumn("_ld", markup.job_posting(F.col("html")))
+    staged = with_posting(pages)
     return staged.withColumn("_ld_address", ld_address(ld)).withColumns({
         "_ld_location": ld_location(F.col("_ld_address")),
         "_ld_date": date,

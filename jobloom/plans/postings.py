@@ -85,6 +85,8 @@ def _json_ld_page():
         F.to_json(block), "[}]$",
         F.when(c("segment") == "MACHINERY", F.lit(',"datePosted":20260401}'))
         .otherwise(F.lit("}")))
+    # Of a repeated key the last value counts.
+    text = F.regexp_replace(text, "^[{]", '{"title":"Draft","datePosted":"yesterday","title":7,')
     return F.concat(
         F.lit('<html><head><script type="application/ld+json">{oops</script>'
               '<script type="application/ld+json">[{"@type":"Thing"},'),
@@ -98,9 +100,10 @@ def _header_page():
             for x in (c("company"), c("place"), age, F.lit(CROWD), c("kind"))]
     return F.concat(
         F.lit("<!DOCTYPE html><html><head><title>Jobs</title><style>p>a{}</style></head>"
-              "<body><nav>Menu</nav><!-- <h1>No</h1> --><h1> "),
+              "<body><nav>Menu<nav>Jobs</nav>Home</nav><!-- <h1>No</h1> --><template>a<template>"
+              "<h1>b</h1></template>c</template><h1> "),
         c("title"), F.lit("\n</h1>"), *line, F.lit("<p>"), _escaped(c("body")),
-        F.lit(f"</p><footer>{FOOT}</footer></body></html>"))
+        F.lit(f"</p><div><header>Top<header></div><footer>{FOOT}<footer>x</footer>y</footer></body></html>"))
 
 
 def _labelled_page():
