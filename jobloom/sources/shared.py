@@ -2,9 +2,13 @@
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: The temporary folders of local sessions, by application.
+_OWN: dict[str, str] = {}
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in `spark.checkpoint.dir`. Only a plain
@@ -13,11 +17,21 @@ def shared_folder(spark: SparkSession) -> str:
     if folder is None:
         if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="jobloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        own = spark.sparkContext.applicationId
+        if own not in _OWN:
+            _OWN[own] = tempfile.mkdtemp(prefix="jobloom-")
+        folder = _OWN[own]
     return folder.rstrip("/")
 
 
+def staged(df: DataFrame, compression: str = "snappy") -> DataFrame:
+    """Write to the shared folder and read again. Cuts the lineage of a result that has
+    several readers; a lost executor costs a reread. Files stay until the folder is cleared."""
+    path = f"{shared_folder(df.sparkSession)}/jobloom-{uuid.uuid4().hex}"
+    df.write.option("compression", compression).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def shared_copy(df: DataFrame) -> DataFrame:
     """Reliable checkpoint of an expensive result that several consumers read."""
     sc = df.sparkSession.sparkContext
