@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from jobloom.functions.skills import SKILLS, find_skills
 from jobloom.functions.text import clean, is_http_url, strip
 from jobloom.operators.pages import parse_pages
-from jobloom.schema import STORED_JOB
-from jobloom.sources.shared import shared_copy
+from jobloom.schema import PUBLIC_JOB_COLUMNS, STORED_JOB
+from jobloom.sources.shared import shared_copy, staged
+from jobloom.sources.store import JobStore
 
 INGESTED, EXISTING, FAILED = "ingested", "existing", "failed"
 
@@ -161,6 +162,33 @@ def run_ingest(
     return outcomes
 
 
+def ingest_into(
+    store: JobStore, requests: DataFrame, pages: DataFrame, as_of: Column, batch: str,
+    vocabulary=tuple(SKILLS),
+) -> DataFrame:
+    """Ingest into a store as one batch, which is seen whole or not at all; returns the outcomes.
+    Stored urls are looked up where they lie. Under the name of a batch that is there
+    already nothing is added, and the outcomes say what is stored now."""
+    urls = wanted_urls(requests)
+    stored = store.lookup(urls.select("url")).where("job_id is not null").select(F.col("job_id").alias("id"), "url")
+    stored = staged(stored)  # as it was before the batch
+    parsed = staged(parse_pages(new_pages(urls, stored, pages), as_of))
+    jobs, outcomes = _jobs_and_outcomes(urls, stored, parsed, as_of, vocabulary)
+    outcomes = staged(outcomes)
+    store.append(jobs, batch)
+    return outcomes
+
+
+def ingest_answer(outcomes: DataFrame, requests: DataFrame, store: JobStore) -> tuple[DataFrame, DataFrame]:
+    """(saved, failures) of the requests, in the order of `pos`: saved (pos, status and the public
+    job columns), failures (pos, url, error)."""
+    status = ingest_status(requests, outcomes)
+    jobs = store.read(values=["summary"]).select(*PUBLIC_JOB_COLUMNS)
+    saved = status.where(F.col("status") != FAILED).select("pos", "url", "status").join(jobs, "url")
+    return (saved.select("pos", "status", *PUBLIC_JOB_COLUMNS),
+            status.where(F.col("status") == FAILED).select("pos", "url", "error"))
+
+
 def _jobs_and_outcomes(urls, stored, parsed, as_of, vocabulary):
     jobs = build_jobs(parsed.where(F.col("parse_error").isNull()), as_of, vocabulary)
     return jobs, url_outcomes(urls, stored, parsed)

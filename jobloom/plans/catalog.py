@@ -1,5 +1,7 @@
 """Registered queries. Each reads whole tables and returns a DataFrame."""
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from jobloom.functions import jsontext, role, skills, text, vectors
@@ -11,8 +13,11 @@ from jobloom.plans.inputs import (
     joined, vector_jobs,
 )
 from jobloom.plans.postings import facts, posting_pages
-from jobloom.sources.shared import shared_copy
+from jobloom.schema import STORED_JOB
+from jobloom.sources.shared import shared_copy, shared_folder, staged
+from jobloom.sources.store import JobStore
 from jobloom.sources.tables import read_pages, read_table, spread
+from jobloom.streaming.ingest import ingest_arriving_pages
 
 c = F.col
 STAMP = "yyyy-MM-dd HH:mm:ss"
@@ -28,7 +33,7 @@ def page_fields(spark: SparkSession, folder: str) -> DataFrame:
     """Source, title, clean description and skills of every page; one chain of
     projections without a shuffle."""
     lined = pages.page_lines(raw_pages(spark, folder))
-    ld = lined.withColumn("_ld", pages.markup.job_posting(c("html")))
+    ld = pages.with_posting(lined)
     staged = ld.withColumn("_metas", pages.markup.meta_tags(c("_page"))).select(
         "page_id", "url", "_ld", "_page",
         pages.page_title(c("_ld"), c("_page"), c("_metas")).alias("title"))
@@ -156,14 +161,16 @@ def job_text(spark: SparkSession, folder: str) -> DataFrame:
 
 def ingest_requests(spark: SparkSession, folder: str) -> DataFrame:
     """Every ad is asked for once; every event asks again for the ad numbered
-    like its user, so a few urls repeat very often; errors ask for no web url."""
+    like its user, so a few urls repeat very often; errors ask for no web url, and so
+    do events of a user without an ad."""
     ads = facts(spark, folder).select(c("page_id").alias("pos"), "page_id", "url")
     events = read_table(spark, folder, "events").select(
         (c("event_id") + 1_000_000_000_000).alias("pos"), "event_type",
         c("user_id").alias("page_id"))
-    again = events.join(ads.select("page_id", "url"), "page_id").select(
-        "pos", F.when(c("event_type") == "error", F.regexp_replace("url", "^https", "ftp"))
-        .otherwise(c("url")).alias("url"))
+    none = F.concat(F.lit("no-ad:"), c("page_id"))
+    again = events.join(ads.select("page_id", "url"), "page_id", "left").select(
+        "pos", F.when(c("event_type") == "error", F.regexp_replace(F.coalesce("url", none), "^https", "ftp"))
+        .otherwise(F.coalesce("url", none)).alias("url"))
     return ads.select("pos", "url").unionByName(again)
 
 
@@ -180,6 +187,63 @@ def _outcomes(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return requests, outcomes
 
 
+def _document_store(spark: SparkSession, folder: str) -> JobStore:
+    """Documents as stored jobs, in three batches by id. One is written twice, the second time with other titles;
+    another try has written rows of all documents and not ended."""
+    store = JobStore(spark, f"{shared_folder(spark)}/jobloom-store-{uuid.uuid4().hex}", 8)
+    jobs = staged(document_jobs(spark, folder).withColumns({
+        "created_at": as_of(), "company_key": ingest.search_key(c("company")),
+        "location_key": ingest.search_key(c("location"))}))
+    for k in range(3):
+        store.append(jobs.where(c("id") % 3 == k), f"part {k}")
+    store.append(jobs.where("id % 3 = 1").withColumn("title", F.lit("again")), "part 1")
+    store.write_attempt(jobs.withColumns({"id": c("id") + 10_000_000, "url": F.concat("url", F.lit("/half"))}),
+                        "rows", "failed", STORED_JOB)
+    return store
+
+
+def store_batches(spark: SparkSession, folder: str) -> DataFrame:
+    """What a reader sees of the table."""
+    return _document_store(spark, folder).read().select(
+        "id", "url", "title", "company", "location", "description_clean", "company_key")
+
+
+def store_lookup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every event asks for a url, errors for one that only the failed try has."""
+    url = F.concat(F.lit("https://d.example.com/"), c("user_id"), F.when(
+        c("event_type") == "error", "/half").otherwise(""))
+    asked = read_table(spark, folder, "events").select("event_id", url.alias("url"))
+    return _document_store(spark, folder).lookup(asked).select("event_id", "url", "job_id")
+
+
+def store_values(spark: SparkSession, folder: str) -> DataFrame:
+    """Columns given new values in two batches, on top of the table: those numbered like a vector get it,
+    then those of a label another one; each has its summary."""
+    store = _document_store(spark, folder)
+    url = F.concat(F.lit("https://d.example.com/"), c("vec_id")).alias("url")
+    vectors_of = read_table(spark, folder, "embeddings")
+    store.put(vectors_of.select(url, c("embedding").cast("array<double>").alias("embedding")), "embedding", "first")
+    store.put(vectors_of.where("label = 3").select(
+        url, F.array(c("vec_id").cast("double"), F.lit(0.5)).alias("embedding")), "embedding", "second")
+    store.put(with_summaries(store.read()).select("url", "summary"), "summary", "all")
+    return store.read().select(
+        "id", "title", "summary", F.size("embedding").alias("width"), _weighted(c("embedding")).alias("weighted"))
+
+
+def stream_ingest(spark: SparkSession, folder: str) -> DataFrame:
+    """The raw pages as files that arrive one by one, into a table that has every third url already."""
+    base = f"{shared_folder(spark)}/jobloom-stream-{uuid.uuid4().hex}"
+    store = JobStore(spark, f"{base}/jobs", 8)
+    stored = as_jobs(raw_pages(spark, folder).where("page_id % 3 = 0"), id=c("page_id"), url=c("url"),
+                     title=F.lit("stored"), created_at=as_of())
+    store.append(stored.withColumns({"company_key": F.lit(""), "location_key": F.lit("")}), "before")
+    raw_pages(spark, folder).repartition(3, "url").write.parquet(f"{base}/in")
+    ingest_arriving_pages(
+        spark, f"{base}/in", store, f"{base}/checkpoint", as_of(), VOCABULARY, files_per_batch=1).awaitTermination()
+    return store.read().select(
+        "id", "url", "source", "title", "description_clean", joined(c("skills")).alias("skills"))
+
+
 def ingest_status(spark: SparkSession, folder: str) -> DataFrame:
     return ingest.ingest_status(*_outcomes(spark, folder))
 
@@ -342,7 +406,7 @@ def embedding_json(spark: SparkSession, folder: str) -> DataFrame:
         "vec_id", jsontext.decode_vector(stored).alias("v"))
     return rows.select(
         "vec_id", F.size("v").alias("width"), vectors.is_missing(c("v")).alias("missing"),
-        F.round(F.try_element_at("v", F.lit(1)), 4).alias("first"))
+        joined(F.transform("v", lambda x: F.floor(x * 1_000_000).cast("string"))).alias("millionths"))
 
 
 def _partly_embedded(spark: SparkSession, folder: str) -> DataFrame:
@@ -364,7 +428,8 @@ def backfill(spark: SparkSession, folder: str) -> DataFrame:
         _partly_embedded(spark, folder), embedding.hashing_embedder(8), 8)
     return done.select("id", F.size("embedding").alias("width"), F.when(
         F.size("embedding") > 8, _weighted(c("embedding"))).alias("kept"),
-        F.when(F.size("embedding") == 8, F.round(vectors.norm(c("embedding")), 4)).alias("norm"))
+        F.when(F.size("embedding") == 8, F.round(vectors.norm(c("embedding")), 4)).alias("norm"),
+        F.when(F.size("embedding") == 8, _weighted(c("embedding"))).alias("weighted"))
 
 
 def _weighted(vector: Column) -> Column:
@@ -385,6 +450,41 @@ def semantic_match(spark: SparkSession, folder: str) -> DataFrame:
     return matching.match_many(vector_jobs(spark, folder), candidates)
 
 
+def _document_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as jobs; those numbered like a vector have it, those of a label an empty one."""
+    vectors = read_table(spark, folder, "embeddings").select(c("vec_id").alias("id"), F.when(
+        c("label") == 5, F.array().cast("array<double>")).otherwise(c("embedding").cast("array<double>")).alias("embedding"))
+    return staged(document_jobs(spark, folder).drop("embedding").join(vectors, "id", "left"))
+
+
+def _match_requests(spark: SparkSession, folder: str) -> matching.Answers:
+    """Every turn asks for jobs; some filter by place or company, some have no text or a bad top_k."""
+    conv, turn = c("conv_id"), c("turn")
+    asked = turn % 7 != 5
+    requests = read_table(spark, folder, "conversations").select(
+        (conv * 1000 + turn).alias("candidate_id"), F.when(asked, c("text")).alias("resume_text"),
+        F.array(F.when(asked, c("role")).otherwise(F.lit(" "))).alias("skills"),
+        F.when(turn % 3 == 1, "E").when(turn % 3 == 2, "fr").alias("location"),
+        F.when(conv % 4 == 1, "SRC1").when(conv % 4 == 2, "src_2").alias("company"),
+        F.lit("").alias("job_type"),
+        F.when(conv % 10 == 9, 0).when(conv % 10 != 7, (3 + conv % 5).cast("int")).alias("top_k"))
+    return matching.match_requests(
+        _document_vectors(spark, folder), requests, embedding.hashing_embedder(64), 64)
+
+
+def match_requests(spark: SparkSession, folder: str) -> DataFrame:
+    found = _match_requests(spark, folder).matches
+    return found.select(
+        "candidate_id", "rank", "similarity_score", "match_reason", "total_candidates", "reject_reason",
+        c("job.id").alias("job_id"), "job.url", "job.title", "job.company", "job.location")
+
+
+def match_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """Vectors that the same requests have made, by value."""
+    return _match_requests(spark, folder).vectors.select(
+        "id", F.size("embedding").alias("width"), _weighted(c("embedding")).alias("weighted"))
+
+
 def match_one(spark: SparkSession, folder: str) -> DataFrame:
     vector = [float(i % 7 - 3) for i in range(64)]
     return matching.match_one(vector_jobs(spark, folder), vector, job_type="TYPE_", top_k=50)
@@ -462,12 +562,12 @@ QUERIES = {q.__name__: q for q in (
     page_fields, page_lines, page_description, page_parse,
     parse_page, jsonld_fields, header_fields, labelled_values, job_rows,
     seniority, job_summary, stored_summaries, job_text,
-    ingest_status, ingest_counts,
+    ingest_status, ingest_counts, store_batches, store_lookup, store_values, stream_ingest,
     list_jobs, list_total, filter_jobs, job_lookup,
     clean_text, truncate_slug, text_keys, url_fields, sentences, responsibilities,
     skill_split, relative_times,
     skills_extract, skills_json, candidate_skills, skill_fit, skill_overlap,
-    cosine, embedding_json, backfill_pick, backfill, semantic_match, match_one,
+    cosine, embedding_json, backfill_pick, backfill, semantic_match, match_requests, match_vectors, match_one,
     embed_hook, embed_once,
     query_text, letter_prompt, letter_from_url, explain_prompt,
 )}

@@ -277,15 +277,16 @@ _REQUESTS = f"""{ADS}, requests AS (
   SELECT page_id AS pos, page_id, url, true AS valid FROM facts
   UNION ALL
   SELECT 1000000000000 + event_id, page_id,
-         CASE WHEN event_type = 'error' THEN 'ftp' || substr(url, 6) ELSE url END,
-         event_type <> 'error'
-  FROM events JOIN facts ON page_id = user_id),
+         CASE WHEN page_id IS NULL THEN 'no-ad:' || user_id
+              WHEN event_type = 'error' THEN 'ftp' || substr(url, 6) ELSE url END,
+         event_type <> 'error' AND page_id IS NOT NULL
+  FROM events LEFT JOIN facts ON page_id = user_id),
 known AS (SELECT page_id, ordered_at < TIMESTAMP '1996-01-01 00:00:00' AS stored FROM facts),
 judged AS (
   SELECT pos, url, valid, r.page_id, stored, ads.page_id IS NOT NULL AS fetched,
          ads.parse_error,
          row_number() OVER (PARTITION BY url ORDER BY pos) AS occurrence
-  FROM requests r JOIN known USING (page_id) LEFT JOIN ads USING (url)),
+  FROM requests r LEFT JOIN known USING (page_id) LEFT JOIN ads USING (url)),
 statuses AS (
   SELECT pos, url,
          CASE WHEN NOT valid THEN 'failed' WHEN stored THEN 'existing'
@@ -305,6 +306,30 @@ SELECT count(*) FILTER (status = 'ingested') AS ingested_count,
        count(*) FILTER (status = 'failed') AS failed_count
 FROM statuses"""
 
+ORACLE_SQL["store_batches"] = f"""
+WITH {_DOCUMENT_JOBS}
+SELECT id, url, title, company, location, description_clean, company AS company_key FROM jobs"""
+
+ORACLE_SQL["store_lookup"] = """
+SELECT event_id, 'https://d.example.com/' || user_id || CASE WHEN event_type = 'error' THEN '/half' ELSE '' END AS url,
+       doc_id AS job_id
+FROM events LEFT JOIN documents ON doc_id = user_id AND event_type <> 'error'"""
+
+ORACLE_SQL["store_values"] = f"""
+WITH {_DOCUMENT_JOBS}, {_summary_ctes('description_clean', VOCABULARY)}
+SELECT id, title, {_sentence('required')} AS summary,
+       CAST(CASE WHEN label = 3 THEN 2 ELSE len(embedding) END AS INT) AS width,
+       round(CASE WHEN label = 3 THEN vec_id + 1.0 ELSE list_dot_product(
+         embedding::DOUBLE[], range(1, len(embedding) + 1)::DOUBLE[]) END, 3) AS weighted
+FROM split LEFT JOIN embeddings ON vec_id = id"""
+
+ORACLE_SQL["stream_ingest"] = f"""{PAGES}
+SELECT page_id AS id, url, CASE WHEN page_id % 3 > 0 THEN source END AS source,
+       CASE WHEN page_id % 3 > 0 THEN title ELSE 'stored' END AS title,
+       CASE WHEN page_id % 3 > 0 THEN {clean('description_raw')} END AS description_clean,
+       CASE WHEN page_id % 3 > 0 THEN {joined(find_skills(clean('description_raw'), VOCABULARY))} END AS skills
+FROM read WHERE page_id % 3 = 0 OR title IS NOT NULL"""
+
 
 # --- search --------------------------------------------------------------------
 
@@ -448,6 +473,17 @@ FROM wanted w FULL JOIN offered o
 
 # --- vectors -------------------------------------------------------------------
 
+def _hashed(source: str, width: int = 64) -> str:
+    """(id, v): word counts of (id, text) over the places."""
+    return f"""(
+  SELECT id, list(coalesce(n, 0)::DOUBLE ORDER BY pos) AS v
+  FROM (SELECT id, unnest(range({width})) AS pos FROM {source})
+  LEFT JOIN (SELECT id, CAST('0x' || substr(md5(word), 1, 8) AS BIGINT) % {width} AS pos, count(*) AS n
+             FROM (SELECT id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS word FROM {source})
+             GROUP BY ALL) USING (id, pos)
+  GROUP BY id)"""
+
+
 ORACLE_SQL["cosine"] = """
 SELECT a.vec_id, CASE WHEN b.vec_id IS NULL THEN 0.0::DOUBLE ELSE round(list_cosine_similarity(
          a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 4) END AS score
@@ -456,18 +492,27 @@ FROM embeddings a LEFT JOIN embeddings b ON b.vec_id = a.vec_id + 1"""
 ORACLE_SQL["embedding_json"] = """
 SELECT vec_id, CAST(CASE WHEN label IN (3, 4, 5) THEN 0 ELSE len(embedding) END AS INT)
          AS width, label IN (3, 4, 5) AS missing,
-       CASE WHEN label NOT IN (3, 4, 5) THEN round(embedding[1]::DOUBLE, 4) END AS first
+       CASE WHEN label IN (3, 4, 5) THEN '' ELSE array_to_string(list_transform(embedding,
+         lambda x: CAST(CAST(floor(CAST(CAST(x AS VARCHAR) AS DOUBLE) * 1000000) AS BIGINT) AS VARCHAR)), '|') END AS millionths
 FROM embeddings"""
 
 ORACLE_SQL["backfill_pick"] = """
 SELECT vec_id AS id, 'type-' || label AS job_type FROM embeddings WHERE label IN (1, 2)"""
 
-ORACLE_SQL["backfill"] = """
+ORACLE_SQL["backfill"] = f"""
+WITH texts AS MATERIALIZED (
+  SELECT vec_id AS id, 'Title: ' || chr(10) || 'Company: ' || chr(10) || 'Location: ' || chr(10) || 'Employment type: '
+         || chr(10) || 'Job type: type-' || label || chr(10) || 'Skills: []' || chr(10) || 'Summary: ' || chr(10)
+         || 'Description: ' AS text
+  FROM embeddings WHERE label IN (1, 2)),
+made AS (SELECT * FROM {_hashed('texts', 8)})
 SELECT vec_id AS id, CAST(CASE WHEN label IN (1, 2) THEN 8 WHEN label = 9 THEN 0
          ELSE len(embedding) END AS INT) AS width,
        CASE WHEN label NOT IN (1, 2, 9) THEN round(list_dot_product(embedding::DOUBLE[],
          range(1, len(embedding) + 1)::DOUBLE[]), 3) END AS kept,
-       CASE WHEN label IN (1, 2) THEN 1.0::DOUBLE END AS norm FROM embeddings"""
+       CASE WHEN label IN (1, 2) THEN 1.0::DOUBLE END AS norm,
+       round(list_dot_product(v, range(1, 9)::DOUBLE[]) / sqrt(list_dot_product(v, v)), 3) AS weighted
+FROM embeddings LEFT JOIN made ON id = vec_id"""
 
 ORACLE_SQL["semantic_match"] = """
 WITH pairs AS (
@@ -488,6 +533,58 @@ FROM ranked WHERE rank <= top_k
 UNION ALL
 SELECT vec_id, NULL, NULL, NULL, NULL, 0, 'top_k must be between 1 and 50' FROM embeddings WHERE label = 9"""
 
+_MATCHED_REQUESTS = f"""
+WITH {_DOCUMENT_JOBS},
+stored AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings WHERE label <> 5),
+asked AS MATERIALIZED (
+  SELECT conv_id * 1000 + turn AS id,
+         concat_ws(chr(10) || chr(10), nullif({strip('text')}, ''), 'Skills: ' || role) AS text,
+         CASE turn % 3 WHEN 1 THEN 'e' WHEN 2 THEN 'fr' ELSE '' END AS place,
+         CASE conv_id % 4 WHEN 1 THEN 'src1' WHEN 2 THEN 'src_2' ELSE '' END AS firm,
+         CASE conv_id % 10 WHEN 9 THEN 0 WHEN 7 THEN 10 ELSE 3 + conv_id % 5 END AS top_k,
+         CASE WHEN turn % 7 = 5 THEN 'Provide either resume_text or skills.'
+              WHEN conv_id % 10 = 9 THEN 'top_k must be between 1 and 50' END AS reason
+  FROM conversations),
+filters AS (SELECT DISTINCT place, firm FROM asked WHERE reason IS NULL),
+first_new AS MATERIALIZED (
+  SELECT place, firm, id FROM (
+    SELECT place, firm, id, row_number() OVER (PARTITION BY place, firm ORDER BY id) AS r
+    FROM filters JOIN jobs ON location ILIKE '%' || place || '%' AND company ILIKE '%' || firm || '%'
+    WHERE id NOT IN (SELECT id FROM stored))
+  WHERE r <= 25),
+texts AS MATERIALIZED (
+  SELECT id, {_job_text("''")} AS text FROM jobs WHERE id IN (SELECT id FROM first_new)),
+made AS MATERIALIZED (SELECT * FROM {_hashed('texts')}),
+wanted AS MATERIALIZED (SELECT * FROM {_hashed('(SELECT * FROM asked WHERE reason IS NULL)')}),
+usable AS (
+  SELECT a.id AS candidate_id, j.id AS job_id, s.v FROM asked a JOIN jobs j
+    ON location ILIKE '%' || place || '%' AND company ILIKE '%' || firm || '%' JOIN stored s ON s.id = j.id
+  WHERE reason IS NULL
+  UNION ALL
+  SELECT a.id, f.id, m.v FROM asked a JOIN first_new f USING (place, firm) JOIN made m ON m.id = f.id
+  WHERE reason IS NULL),
+pairs AS (
+  SELECT candidate_id, job_id, round(CASE WHEN list_sum(u.v) = 0 OR list_sum(w.v) = 0 THEN 0.0
+           ELSE list_cosine_similarity(w.v, u.v) END, 4) + 0.0 AS similarity_score
+  FROM usable u JOIN wanted w ON w.id = candidate_id),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY similarity_score DESC, job_id) AS rank,
+         count(*) OVER (PARTITION BY candidate_id) AS total
+  FROM pairs)
+"""
+
+ORACLE_SQL["match_requests"] = f"""{_MATCHED_REQUESTS}
+SELECT a.id AS candidate_id, CAST(rank AS INT) AS rank, similarity_score,
+       CAST(NULL AS VARCHAR) AS match_reason, coalesce(total, 0) AS total_candidates, reason AS reject_reason,
+       j.id AS job_id, j.url, j.title, j.company, j.location
+FROM asked a LEFT JOIN (SELECT r.* FROM ranked r JOIN asked q ON q.id = candidate_id AND rank <= top_k) r
+  ON r.candidate_id = a.id
+LEFT JOIN jobs j ON j.id = r.job_id"""
+
+ORACLE_SQL["match_vectors"] = f"""{_MATCHED_REQUESTS}
+SELECT id, CAST(64 AS INT) AS width, round(list_dot_product(v, range(1, 65)::DOUBLE[])
+         / sqrt(list_dot_product(v, v)), 3) AS weighted FROM made"""
+
 ORACLE_SQL["match_one"] = f"""
 SELECT vec_id AS job_id, round(list_cosine_similarity(embedding::DOUBLE[],
          {[float(i % 7 - 3) for i in range(64)]}::DOUBLE[]), 4) + 0.0 AS similarity_score
