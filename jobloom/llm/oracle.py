@@ -64,8 +64,90 @@ SELECT doc_id, coalesce(n_units, 0) AS n_units, coalesce(n_removed, 0) AS n_remo
 FROM doc LEFT JOIN made USING (r)
 """
 
+_WORDS = rf"coalesce(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
+
+# A table for each byte, then a CRC byte by byte, for each different word.
+OP11 = rf"""
+WITH doc AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+used AS MATERIALIZED (SELECT r, unnest(w) AS f FROM doc),
+wanted AS MATERIALIZED (SELECT unnest({_WORDS}) AS f FROM benchmark),
+byte AS MATERIALIZED (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS c
+    FROM (SELECT unnest(range(256)) AS i))),
+spelled AS MATERIALIZED (
+  SELECT f, list_transform(range(1, length(hex(f)), 2), lambda p: CAST('0x' || substr(hex(f), p, 2) AS BIGINT)) AS b
+  FROM (SELECT f FROM used UNION SELECT f FROM wanted)),
+feature AS MATERIALIZED (
+  SELECT f, xor(list_reduce(b, lambda c, x: xor(c >> 8, t[1 + (xor(c, x) & 255)]), 4294967295), 4294967295) % 10000 AS bucket
+  FROM spelled, byte),
+source AS (SELECT bucket, count(*) AS n FROM used JOIN feature USING (f) GROUP BY bucket),
+target AS (SELECT bucket, count(*) AS n FROM wanted JOIN feature USING (f) GROUP BY bucket),
+gain AS MATERIALIZED (
+  SELECT bucket, CAST(floor(1000 * ln(
+           (coalesce(target.n, 0) + 1)::DOUBLE * ((SELECT count(*) FROM used) + 10000)::DOUBLE
+           / ((source.n + 1)::DOUBLE * ((SELECT count(*) FROM wanted) + 10000)::DOUBLE))) AS BIGINT) AS g
+  FROM source LEFT JOIN target USING (bucket)),
+weighed AS (
+  SELECT r, CAST(floor(sum(g)::DOUBLE / count(*)) AS BIGINT) AS weight
+  FROM used JOIN feature USING (f) JOIN gain USING (bucket) GROUP BY r),
+scored AS MATERIALIZED (
+  SELECT doc_id, len(w) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln(
+           (CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE)
+           / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM doc LEFT JOIN weighed USING (r)),
+placed AS (
+  SELECT *, CASE WHEN n_features >= 20 THEN row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) END AS place
+  FROM scored)
+SELECT doc_id, n_features, weight, score,
+       CASE WHEN place <= (SELECT count(place) * 10 // 100 FROM placed) THEN place END AS rank
+FROM placed
+"""
+
+
+def _lloyd(rounds: int = 6) -> str:
+    distance = "list_dot_product(x, x) - 2 * list_dot_product(x, y) + list_dot_product(y, y)"  # whole numbers
+    steps = ""
+    for k in range(rounds + 1):
+        steps += f""",
+a{k} AS MATERIALIZED (
+  SELECT r, p, any_value(x) AS x, min({{'d': d, 'e': e}}) AS best
+  FROM (SELECT r, p, e, x, {distance} AS d FROM part JOIN e{k} USING (p)) GROUP BY r, p)"""
+        if k < rounds:
+            steps += f""",
+e{k + 1} AS MATERIALIZED (
+  SELECT p, e, coalesce(z, y) AS y FROM e{k} LEFT JOIN (
+    SELECT p, e, list(m ORDER BY j) AS z FROM (
+      SELECT p, best.e AS e, j, floor(sum(c) / count(*)) AS m
+      FROM (SELECT p, best, unnest(x) AS c, unnest(range(len(x))) AS j FROM a{k}) GROUP BY ALL)
+    GROUP BY p, e) USING (p, e))"""
+    return steps
+
+
+OP12 = f"""
+WITH vec AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, label,
+         list_transform(embedding, lambda x: floor(4096 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+part AS MATERIALIZED (
+  SELECT r, p, v[p * (len(v) // 8) + 1:(p + 1) * (len(v) // 8)] AS x FROM (SELECT r, v, unnest(range(8)) AS p FROM vec)),
+e0 AS MATERIALIZED (
+  SELECT p, e, x AS y FROM part JOIN (
+    SELECT r, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM vec QUALIFY e < 16) USING (r)){_lloyd()},
+made AS (
+  SELECT r, string_agg(printf('%02x', CAST(best.e AS INTEGER)), '' ORDER BY p) AS code, CAST(sum(best.d) AS BIGINT) AS error
+  FROM a6 GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       sha256((SELECT string_agg(CAST(CAST(c AS BIGINT) AS VARCHAR), ',' ORDER BY p, e, j)
+               FROM (SELECT p, e, unnest(y) AS c, unnest(range(len(y))) AS j FROM e6))) AS codebooks_sha256
+FROM made JOIN vec USING (r)
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op4_decontaminate": OP4,
     "op9_topk": OP9,
     "op10_lines": OP10,
+    "op11_importance": OP11,
+    "op12_codes": OP12,
 }
