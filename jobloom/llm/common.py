@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +37,20 @@ def staged(df: DataFrame, compression: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def set_aside(df: DataFrame, names: Iterable[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """The rows with columns of these names, which an operator needs for itself, under other names,
+    and what gives them back their own."""
+    taken, moved = {c.lower() for c in df.columns} | {n.lower() for n in names}, {}
+    for column in df.columns:
+        if column.lower() in {n.lower() for n in names}:
+            new = column
+            while new.lower() in taken:
+                new += "_"
+            taken.add(new.lower())
+            moved[column] = new
+    return df.withColumnsRenamed(moved), lambda found: found.withColumnsRenamed({v: k for k, v in moved.items()})
+
+
 def with_field(schema: T.StructType, name: str, kind: T.DataType) -> T.StructType:
     """The schema with a last column; one of that name before is replaced."""
     return T.StructType([f for f in schema.fields if f.name != name] + [T.StructField(name, kind)])

@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from jobloom.llm.common import WORD
+from jobloom.llm.common import WORD, set_aside
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -87,6 +87,7 @@ def mix(docs: DataFrame, size: Column | None = None, weights=WEIGHTS, share: flo
         repeats: int = MAX_REPEATS, schedules=SCHEDULES, out: str = "mix") -> DataFrame:
     """docs (doc_id, source, text, ...) with a struct: size, source_size, target, taken,
     and uses, an array of (pass, words, position) for each time the document is taken."""
+    docs, back = set_aside(docs, ["_source", "_cell", "_start", "_at"])
     key = F.xxhash64("doc_id")
     plain = docs.select(
         *[c for c in docs.columns if c != out],
@@ -116,11 +117,11 @@ def mix(docs: DataFrame, size: Column | None = None, weights=WEIGHTS, share: flo
     uses = F.filter(F.array(*[
         F.when(took(p) > 0, F.struct(F.lit(p).alias("pass"), took(p).alias("words"), position(p).alias("position")))
         for p in range(repeats)]), lambda u: u.isNotNull())
-    return joined.withColumn("_at", start).select(
+    return back(joined.withColumn("_at", start).select(
         *[c for c in plain.columns if c != out],
         F.struct(words.alias("size"), total.alias("source_size"), F.col("_start.target").alias("target"),
                  sum((took(p) for p in range(1, repeats)), took(0)).alias("taken"), uses.alias("uses"),
-                 (F.col("_at") / F.greatest(total, F.lit(1))).alias("place")).alias(out))
+                 (F.col("_at") / F.greatest(total, F.lit(1))).alias("place")).alias(out)))
 
 
 def training_order(mixed: DataFrame, out: str = "mix", use: str = "use") -> DataFrame:

@@ -38,30 +38,68 @@ SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM pair) WHERE r <= 10
 """
 
+_WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+def _plain(x: str) -> str:
+    return rf"trim(regexp_replace({_LOWER.replace('text', x)}, '[\x20\x09-\x0D]+', ' ', 'g'))"
+
+
+def _start(x: str) -> str:
+    return f"length({x}) - length(ltrim({x}, {_WHITE}))"
+
+
+# Units are sentences, lines and paragraphs of 12 words or more.
 OP10 = rf"""
-WITH doc AS (
+WITH doc AS MATERIALIZED (
   SELECT row_number() OVER () AS r, doc_id, text, string_split(text, chr(10)) AS s FROM documents),
+line AS MATERIALIZED (
+  SELECT *, {_plain('raw')} AS n, coalesce(sum(length(raw) + 1) OVER (
+           PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a
+  FROM (SELECT r, doc_id, i, s[i] AS raw FROM (SELECT *, unnest(range(1, len(s) + 1)) AS i FROM doc))),
+grouped AS MATERIALIZED (
+  SELECT *, sum((n = '')::INT) OVER (PARTITION BY r ORDER BY i) AS g FROM line),
+piece AS MATERIALIZED (
+  SELECT *, {_plain('part')} AS m, a + coalesce(sum(length(part)) OVER (
+           PARTITION BY r, i ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b
+  FROM (SELECT r, doc_id, i, g, a, p[j] AS part, j FROM (
+    SELECT *, unnest(range(1, len(p) + 1)) AS j FROM (
+      SELECT *, string_split(regexp_replace(raw, '([.!?])([\x20\x09])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS p
+      FROM grouped)))),
 unit AS (
-  SELECT r, doc_id, i, s[i] AS raw,
-         trim(regexp_replace({_LOWER.replace('text', 's[i]')}, '[\x20\x09-\x0D]+', ' ', 'g')) AS n
-  FROM (SELECT r, doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM doc)),
-placed AS (
-  SELECT *, coalesce(sum(length(raw) + 1) OVER (
-              PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a,
-         n = '' OR row_number() OVER (PARTITION BY n ORDER BY doc_id, i) = 1 AS stays
-  FROM unit),
-made AS (
-  SELECT r, CAST(count(*) FILTER (n <> '') AS INTEGER) AS n_units,
-         CAST(count(*) FILTER (NOT stays) AS INTEGER) AS n_removed,
-         CAST(coalesce(sum(length(raw)) FILTER (NOT stays), 0) AS INTEGER) AS removed_chars,
-         coalesce(string_agg(CAST(a AS BIGINT) || '-' || CAST(a + length(raw) AS BIGINT), ',' ORDER BY i)
-           FILTER (NOT stays), '') AS removed,
-         string_agg(raw, chr(10) ORDER BY i) FILTER (stays) AS kept
-  FROM placed GROUP BY r)
+  SELECT r, doc_id, 'piece' AS kind, i, j, m AS n, b + {_start('part')} AS pos FROM piece
+  UNION ALL SELECT r, doc_id, 'line', i, 0, n, a + {_start('raw')} FROM grouped
+  UNION ALL SELECT r, doc_id, 'paragraph', g, 0, string_agg(n, ' ' ORDER BY i), min(a + {_start('raw')})
+  FROM grouped WHERE n <> '' GROUP BY r, doc_id, g),
+judged AS MATERIALIZED (
+  SELECT *, rank() OVER (PARTITION BY n ORDER BY doc_id NULLS FIRST, pos) > 1 AS repeats
+  FROM unit WHERE length(n) - length(replace(n, ' ', '')) >= 11),
+gone AS MATERIALIZED (
+  SELECT p.*, coalesce(x.repeats, false) OR coalesce(y.repeats, false) OR coalesce(z.repeats, false) AS goes
+  FROM piece p
+  LEFT JOIN judged x ON x.kind = 'piece' AND x.r = p.r AND x.i = p.i AND x.j = p.j
+  LEFT JOIN judged y ON y.kind = 'line' AND y.r = p.r AND y.i = p.i
+  LEFT JOIN judged z ON z.kind = 'paragraph' AND z.r = p.r AND z.i = p.g),
+whole AS (SELECT r, i, bool_and(goes) AS whole FROM gone WHERE m <> '' GROUP BY r, i),
+cut AS (
+  SELECT r, a AS x, a + length(raw) AS y FROM grouped JOIN whole USING (r, i) WHERE whole
+  UNION ALL
+  SELECT r, b + {_start('part')}, b + length(rtrim(part, {_WHITE}))
+  FROM gone JOIN whole USING (r, i) WHERE goes AND m <> '' AND NOT whole),
+removed AS (
+  SELECT r, CAST(count(*) AS INTEGER) AS n_removed, CAST(sum(y - x) AS INTEGER) AS removed_chars,
+         string_agg(CAST(x AS BIGINT) || '-' || CAST(y AS BIGINT), ',' ORDER BY x) AS removed
+  FROM cut GROUP BY r),
+rest AS (
+  SELECT r, i, string_agg(CASE WHEN goes AND m <> '' THEN left(part, {_start('part')})
+                               || substr(part, length(rtrim(part, {_WHITE})) + 1) ELSE part END, '' ORDER BY j) AS raw
+  FROM gone LEFT JOIN whole USING (r, i) WHERE NOT coalesce(whole, false) GROUP BY r, i),
+kept AS (SELECT r, string_agg(raw, chr(10) ORDER BY i) AS kept FROM rest GROUP BY r),
+counted AS (SELECT r, CAST(count(DISTINCT (pos, n)) AS INTEGER) AS n_units FROM judged GROUP BY r)
 SELECT doc_id, coalesce(n_units, 0) AS n_units, coalesce(n_removed, 0) AS n_removed,
        coalesce(removed_chars, 0) AS removed_chars, coalesce(removed, '') AS removed,
        sha256(coalesce(kept, '')) AS kept_sha256
-FROM doc LEFT JOIN made USING (r)
+FROM doc LEFT JOIN counted USING (r) LEFT JOIN removed USING (r) LEFT JOIN kept USING (r)
 """
 
 _WORDS = rf"coalesce(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"

@@ -156,8 +156,7 @@ def _compared(radius: int, round_: int):
 
     def spread(fp, home, key):
         """A large tile's rows, each to the parts where it must be compared."""
-        mixed = (fp + np.uint64(round_)) * np.uint64(0x9E3779B97F4A7C15)
-        own = (mixed >> np.uint64(40)).astype(np.int64) % PARTS
+        own = _dealt_to(fp, round_)
         for part in range(PARTS):
             to = ~home | (own >= part)
             yield row_batch(fp[to], None, key, part, home[to] & (own[to] == part))
@@ -221,6 +220,13 @@ def _compared(radius: int, round_: int):
     return compare
 
 
+def _dealt_to(fp: np.ndarray, round_: int) -> np.ndarray:
+    """The part of each fingerprint, in every round another: all bits are mixed after the round's number is in."""
+    mixed = (fp ^ np.uint64((round_ + 1) * 0x9E3779B97F4A7C15 % 2 ** 64)) * np.uint64(0xFF51AFD7ED558CCD)
+    mixed = (mixed ^ (mixed >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return (mixed >> np.uint64(40)).astype(np.int64) % PARTS
+
+
 def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Distinct fingerprints (fp) -> links (a, b) that join all those within the radius."""
     visits = prints.select("fp").mapInArrow(_dealt(radius), _VISIT)

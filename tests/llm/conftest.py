@@ -15,7 +15,8 @@ EDGE = [
     (7, "word " * 60_000, "c"), (8, "x" * 120_000, "c"), (9, "The cat sat on the mat.\nThe dog ran.", "a"),
     (9, "The cat sat on the mat.\nThe dog ran.", "a"), (None, "no id at all here", "a"), (11, "a", "a")]
 CLASHES = ("mix", "contamination", "quality_model", "fingerprint", "component_id", "dedup", "near_lines",
-           "substrings", "n_words", "use", "anchor", "size")
+           "substrings", "n_words", "use", "anchor", "size", "kept", "_of", "_first", "_source", "_cell", "_start", "_anchors",
+           "_told", "_id", "_print", "_fingerprint", "_real", "_gone", "_cut", "_at", "importance", "code", "task", "length")
 
 
 @pytest.fixture(scope="session")

@@ -4,7 +4,7 @@ from jobloom.llm import linejoin, lines
 def test_first_line_stays(spark):
     rows = [(3, "Same  Line\nown three\n\nlast"), (1, "same line\nx"), (2, "  SAME line \nsame line\nx y\n")]
     found = {r.doc_id: r.dedup for r in lines.drop_repeats(
-        spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        spark.createDataFrame(rows, "doc_id long, text string"), ["line"], 1).collect()}
     assert found[1].kept_text == "same line\nx" and found[1].n_units == 2
     assert found[2].kept_text == "x y\n" and list(zip(found[2].removed_starts, found[2].removed_ends)) == [(0, 12), (13, 22)]
     assert found[3].kept_text == "own three\n\nlast" and found[3].starts == [11, 21, 22]
@@ -13,16 +13,75 @@ def test_first_line_stays(spark):
 def test_paragraphs(spark):
     rows = [(1, "one\ntwo\n\nthree"), (2, "three\n \nfour\n\n\none\nTWO")]
     found = {r.doc_id: r.dedup for r in lines.drop_repeats(
-        spark.createDataFrame(rows, "doc_id long, text string"), unit="paragraph").collect()}
-    assert found[2].kept_text == "four" and found[1].kept_text == rows[0][1]
+        spark.createDataFrame(rows, "doc_id long, text string"), ["paragraph"], 1).collect()}
+    assert found[2].kept_text == " \nfour\n\n" and found[1].kept_text == rows[0][1]
+
+
+def test_a_passage_inside_lines(spark):
+    passage = "It begins in one line of text. It goes on in a second sentence of\nwords! And it ends here."
+    rows = [(1, passage), (2, f"Before it. {passage} After it."), (3, f"Own. {passage}")]
+    found = {r.doc_id: r.dedup for r in lines.drop_repeats(
+        spark.createDataFrame(rows, "doc_id long, text string"), least=3).collect()}
+    assert found[1].kept_text == passage and found[1].removed_starts == []
+    # Of a broken sentence each half is one.
+    assert found[2].kept_text == "Before it.  \nwords!  After it."
+    assert [rows[1][1][a:b] for a, b in zip(found[2].removed_starts, found[2].removed_ends)] == [
+        "It begins in one line of text.", "It goes on in a second sentence of", "And it ends here."]
+    assert found[3].kept_text == "Own.  "  # its second line is the first document's
+
+
+def by_hand(docs, least):
+    """The same from the definition: every unit against all units before."""
+    import re
+
+    white, units = " \t\n\x0b\f\r", []
+    for doc, text in docs:
+        start, spans = 0, []
+        own = []
+        for raw in text.split("\n"):
+            cuts = [0, *(m.start() for m in re.finditer(r"(?<=[.!?])(?=[ \t])", raw)), len(raw)]
+            own.append((start, start + len(raw), [(start + a, start + b) for a, b in zip(cuts, cuts[1:])]))
+            start += len(raw) + 1
+        spans += [(doc, "s", i, a, b) for i, line in enumerate(own) for a, b in line[2]]
+        spans += [(doc, "l", i, line[0], line[1]) for i, line in enumerate(own)]
+        for m in re.finditer(r"(?:^|\n)((?:[^\n]*[^\n \t\x0b\f\r][^\n]*(?:\n|$))+)", text):
+            spans.append((doc, "p", None, m.start(1), m.end(1)))
+        units += [(d, a + len(text[a:b]) - len(text[a:b].lstrip(white)), k, i, a, b,
+                   " ".join("".join(c.lower() if c < "\x80" else c for c in text[a:b]).split())) for d, k, i, a, b in spans]
+    units = [u for u in units if len(u[6].split()) >= max(1, least)]
+    first = {}
+    for u in units:
+        first[u[6]] = min(first.get(u[6], u[:2]), u[:2])
+    repeats = [u for u in units if first[u[6]] != u[:2]]
+    return {doc: (len({(u[1], u[6]) for u in units if u[0] == doc}),
+                  {c for u in repeats if u[0] == doc for c in range(u[4], u[5]) if text[c] not in white}) for doc, text in docs}
+
+
+def test_same_as_by_hand(spark):
+    import random
+
+    draw = random.Random(5)
+    words = ["Aa", "bb.", "cc!", "dd", "É", "ee?"]
+    made = [" ".join(draw.choice(words) for _ in range(draw.randint(1, 7))) for _ in range(25)]
+    docs = [(d, "".join(draw.choice(made) + draw.choice([" ", "\n", "\n\n", "\n \n", "  ", ".\t"]) for _ in range(draw.randint(0, 14))))
+            for d in range(150)]
+    for least in (1, 3, 6):
+        found = lines.drop_repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), least=least)
+        wanted = by_hand(docs, least)
+        for r in found.collect():
+            gone = {c for a, b in zip(r.dedup.removed_starts, r.dedup.removed_ends) for c in range(a, b)}
+            assert (r.dedup.n_units, {c for c in gone if not r.text[c].isspace()}) == wanted[r.doc_id]
+            kept = "".join(r.text[a:b] for a, b in zip(r.dedup.starts, r.dedup.ends))
+            assert kept == r.dedup.kept_text.replace("\n", "")
 
 
 def test_edge_cases(edge, none):
-    rows = lines.drop_repeats(edge).collect()
+    rows = lines.drop_repeats(edge, ["line"], 1).collect()
     found = {r.doc_id: r.dedup for r in rows}
     assert len(rows) == 12 and found[2].n_units == 0 and found[2].kept_text is None
     assert found[4].kept_text == " \n\t " and found[5].kept_text == "Another line here" and found[9].kept_text == ""
     assert lines.drop_repeats(none).count() == 0
+    assert all(r[c] == 7 for r in rows for c in edge.columns[3:] if c != "dedup")
 
 
 def brute(docs):

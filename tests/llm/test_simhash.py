@@ -77,3 +77,12 @@ def test_edge_cases(edge, none):
     assert {by[i].component_id for i in (2, 3, 4)} == {2} and by[9].component_id == 1
     assert by[None].component_id is None
     assert simhash.near_copies(none).count() == 0
+
+
+def test_every_round_deals_a_part_anew():
+    """What one part holds is spread over all parts by the next round, and so on."""
+    prints = np.random.default_rng(1).integers(0, 2 ** 63, 2_000_000).astype(np.uint64)
+    for round_ in range(3):
+        counts = np.bincount(simhash._dealt_to(prints, round_), minlength=simhash.PARTS)
+        assert counts.min() > 0.5 * len(prints) / simhash.PARTS
+        prints = prints[simhash._dealt_to(prints, round_) == 5]
