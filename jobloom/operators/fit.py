@@ -1,12 +1,13 @@
 """Skill-overlap fit of candidates to the jobs they asked about."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from jobloom.functions.prompts import has_match_input
 from jobloom.functions.skills import (
     SKILLS, fit_parts, merge_candidate_skills, normal_skills,
 )
 from jobloom.operators.search import NOT_FOUND
+from jobloom.sources.shared import staged
 
 NO_INPUT = "Provide either resume_text or skills."
 FIT_COLUMNS = [
@@ -28,11 +29,11 @@ def candidate_skills(candidates: DataFrame, vocabulary=tuple(SKILLS)) -> DataFra
 def fit_columns(pairs: DataFrame) -> DataFrame:
     """`pairs` has `job_skills` and `candidate_skills`; adds the fit columns.
     Row by row, no shuffle."""
-    staged = pairs.withColumns({
+    plain = pairs.withColumns({
         "job_skills": normal_skills(F.col("job_skills")),
         "candidate_skills": normal_skills(F.col("candidate_skills")),
     })
-    return staged.withColumns(fit_parts(F.col("job_skills"), F.col("candidate_skills")))
+    return plain.withColumns(fit_parts(F.col("job_skills"), F.col("candidate_skills")))
 
 
 def skill_fit(requests: DataFrame, jobs: DataFrame, vocabulary=tuple(SKILLS)) -> DataFrame:
@@ -81,3 +82,47 @@ def skill_overlap(requests: DataFrame, jobs: DataFrame) -> DataFrame:
         F.when(c("candidate_skill").isNull(), "missing")
         .when(c("job_skill").isNull(), "extra").otherwise("matched").alias("side"),
     )
+
+
+# --- the best jobs of every candidate ----------------------------------------
+
+def best_fits(candidates: DataFrame, jobs: DataFrame, top_k: int = 10) -> DataFrame:
+    """(candidate_id, rank, job_id, fit_score) of the jobs with the highest fit scores, ties to the
+    smaller id; jobs that share no skill are left out. `candidates` has candidate_id and
+    candidate_skills, `jobs` id and skills.
+
+    A score depends on the two sets of skills alone. So equal sets are one class on either side, and
+    a job class is its smallest `top_k` ids: no more of them can be among the best. Classes meet through
+    an index from skill to class; pairs of classes are counted before anything is ranked, and of each
+    candidate class the best `top_k` job classes are kept, in two steps. A skill that a third
+    of all jobs name costs one row for each class that has it, not for each job.
+    """
+    c = F.col
+    asked = candidates.where("candidate_id is not null").select("candidate_id", _skill_set(c("candidate_skills")).alias("own"))
+    offered = jobs.where("id is not null").select("id", _skill_set(c("skills")).alias("own"))
+    asked, offered = (staged(x.where(F.size("own") > 0)) for x in (asked, offered))
+    groups = asked.groupBy("own").agg(F.min("candidate_id").alias("group"))
+    classes = offered.groupBy("own").agg(F.min("id").alias("class"))
+    pairs = groups.select("group", F.explode("own").alias("skill")).join(
+        classes.select("class", F.size("own").alias("n"), F.explode("own").alias("skill")), "skill")
+    scored = pairs.groupBy("group", "class", "n").agg(F.count("*").alias("shared")).select(
+        "group", "class", F.bround(c("shared").cast("double") / c("n") * 100.0).cast("int").alias("fit_score"))
+    scored = _ranked(scored, ["group"], [F.desc("fit_score"), c("class")], "class", top_k)
+    members = _ranked(offered.join(classes, "own").select("id", "class"), ["class"], [c("id")], "id", top_k)
+    found = scored.join(members, "class").select("group", "fit_score", c("id").alias("job_id"))
+    best = _ranked(found, ["group"], [F.desc("fit_score"), c("job_id")], "job_id", top_k)
+    return asked.join(groups, "own").select("candidate_id", "group").join(best, "group").select(
+        "candidate_id", "rank", "job_id", "fit_score")
+
+
+def _skill_set(items: Column) -> Column:
+    return F.array_sort(F.array_distinct(F.transform(normal_skills(items), F.lower)))
+
+
+def _ranked(rows: DataFrame, by: list[str], order: list[Column], key: str, most: int) -> DataFrame:
+    """The first `most` rows of each group with their rank, first within parts of a group."""
+    part = rows.withColumn("_part", F.pmod(F.xxhash64(key), F.lit(64)))
+    few = part.withColumn("_rank", F.row_number().over(Window.partitionBy(*by, "_part").orderBy(*order))).where(
+        F.col("_rank") <= most).drop("_rank", "_part")
+    return few.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(
+        F.col("rank") <= most)

@@ -18,6 +18,17 @@ def _python_strip_lower(value: str | None) -> str:
     return (value or "").lower().strip()
 
 
+def normal_keyword(keyword: str | None) -> str:
+    """What is searched for; '' is no filter."""
+    return _python_strip_lower(keyword)
+
+
+def searched_text() -> Column:
+    """What a keyword is searched in."""
+    parts = ["title", "description_clean", "description_raw"]
+    return F.lower(F.concat_ws(" ", *[empty_to_null(F.col(p)) for p in parts]))
+
+
 def list_jobs(
     jobs: DataFrame, keyword: str | None = None, company: str | None = None,
     location: str | None = None,
@@ -35,11 +46,9 @@ def list_jobs(
             stored = f"{name}_key"
             key = F.col(stored) if stored in jobs.columns else search_key(F.col(name))
             jobs = jobs.where(key == wanted)
-    wanted = _python_strip_lower(keyword)
+    wanted = normal_keyword(keyword)
     if wanted:
-        parts = ["title", "description_clean", "description_raw"]
-        haystack = F.lower(F.concat_ws(" ", *[empty_to_null(F.col(p)) for p in parts]))
-        jobs = jobs.where(F.contains(haystack, F.lit(wanted)))
+        jobs = jobs.where(F.contains(searched_text(), F.lit(wanted)))
     return jobs
 
 

@@ -1,15 +1,18 @@
 """Registered queries. Each reads whole tables and returns a DataFrame."""
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from jobloom.functions import jsontext, role, skills, text, vectors
 from jobloom.functions.when import out_of_range, relative_time
 from jobloom.operators import embedding, fit, ingest, letters, matching, pages, search
+from jobloom.operators.keyword import KeywordIndex
 from jobloom.operators.summaries import summarize, with_summaries
+from jobloom.operators.vocabulary import find_listed
 from jobloom.plans.inputs import (
-    HINTS, VERBS, VOCABULARY, as_jobs, as_of, conversation_requests, document_jobs,
+    HINTS, KEYWORDS, VERBS, VOCABULARY, as_jobs, as_of, conversation_requests, document_jobs,
     joined, vector_jobs,
 )
 from jobloom.plans.postings import facts, posting_pages
@@ -265,6 +268,14 @@ def list_total(spark: SparkSession, folder: str) -> DataFrame:
         search.list_jobs(document_jobs(spark, folder), keyword="fr ", company=" "))
 
 
+def keyword_search(spark: SparkSession, folder: str) -> DataFrame:
+    """Jobs by keyword, each through the postings."""
+    jobs = staged(document_jobs(spark, folder))
+    index = KeywordIndex.build(jobs, f"{shared_folder(spark)}/jobloom-postings-{uuid.uuid4().hex}")
+    found = [index.search(jobs, k).select(F.lit(k).alias("keyword"), "id") for k in KEYWORDS]
+    return reduce(DataFrame.unionByName, found)
+
+
 def filter_jobs(spark: SparkSession, folder: str) -> DataFrame:
     parts = as_jobs(
         read_table(spark, folder, "part"), id=c("p_partkey"), title=c("p_name"),
@@ -386,6 +397,26 @@ def skill_overlap(spark: SparkSession, folder: str) -> DataFrame:
         asked.withColumnRenamed("candidate_id", "request_id"), document_jobs(spark, folder))
 
 
+def best_fits(spark: SparkSession, folder: str) -> DataFrame:
+    """The five best jobs of every turn by its skills."""
+    asked = fit.candidate_skills(conversation_requests(spark, folder), VOCABULARY)
+    return fit.best_fits(asked, document_jobs(spark, folder), 5)
+
+
+def vocabulary_extract(spark: SparkSession, folder: str) -> DataFrame:
+    """Which runs of two and three words of the benchmark, without marks between, stand in a document: a vocabulary of
+    many thousand entries that overlap."""
+    words = F.split(F.trim(F.regexp_replace("text", r"[ \n]+", " ")), " ")
+    read = read_table(spark, folder, "benchmark").select(words.alias("w"))
+    runs = read.select(F.explode(F.flatten(F.array(*[
+        F.transform(F.filter("w", lambda _, i: i <= F.size("w") - n),
+                    lambda _, i: F.array_join(F.slice("w", i + 1, F.lit(n)), " ")) for n in (2, 3)]))).alias("entry"))
+    entries = runs.where(c("entry").rlike(r"(?U)^\w+( \w+)+$")).distinct().withColumn("place", F.xxhash64("entry"))
+    texts = documents(spark, folder).select(c("doc_id").alias("id"), "text")
+    return find_listed(texts, entries).select(
+        c("id").alias("doc_id"), F.size("found").alias("n"), joined(F.array_sort("found")).alias("found"))
+
+
 # --- vectors -------------------------------------------------------------------
 
 def cosine(spark: SparkSession, folder: str) -> DataFrame:
@@ -563,10 +594,10 @@ QUERIES = {q.__name__: q for q in (
     parse_page, jsonld_fields, header_fields, labelled_values, job_rows,
     seniority, job_summary, stored_summaries, job_text,
     ingest_status, ingest_counts, store_batches, store_lookup, store_values, stream_ingest,
-    list_jobs, list_total, filter_jobs, job_lookup,
+    list_jobs, list_total, keyword_search, filter_jobs, job_lookup,
     clean_text, truncate_slug, text_keys, url_fields, sentences, responsibilities,
     skill_split, relative_times,
-    skills_extract, skills_json, candidate_skills, skill_fit, skill_overlap,
+    skills_extract, vocabulary_extract, skills_json, candidate_skills, skill_fit, skill_overlap, best_fits,
     cosine, embedding_json, backfill_pick, backfill, semantic_match, match_requests, match_vectors, match_one,
     embed_hook, embed_once,
     query_text, letter_prompt, letter_from_url, explain_prompt,

@@ -14,6 +14,7 @@ VOCABULARY = [
     "Una", "Onto", "Aus",
 ]
 VERBS = ["that", "une", "nicht", "licen[sc]e"]
+KEYWORDS = [" The T", "fr ", "E", "nicht", "que la", "zq", "in e", "onde", "of the", "xyzzy"]
 HINTS = ["token", "license", "that the", "nicht"]
 
 

@@ -8,7 +8,7 @@ sentence ends are marked before splitting.
 import re
 
 from jobloom.functions import prompts, role, skills
-from jobloom.plans.inputs import HINTS, VERBS, VOCABULARY
+from jobloom.plans.inputs import HINTS, KEYWORDS, VERBS, VOCABULARY
 from jobloom.plans.postings import AS_OF, expected_cte
 
 # Blanks by code point: this regex dialect has no Unicode blank class.
@@ -344,6 +344,13 @@ WHERE source = 'src1' AND lang = 'en' AND contains({_HAYSTACK}, 'the t')"""
 ORACLE_SQL["list_total"] = f"""
 SELECT count(*) AS total FROM {_CLEANED} WHERE contains({_HAYSTACK}, 'fr')"""
 
+def _keyword(keyword: str) -> str:
+    return f"""SELECT {quoted(keyword)} AS keyword, doc_id AS id FROM cleaned
+WHERE contains({_HAYSTACK}, {quoted(keyword.strip().lower())})"""
+
+
+ORACLE_SQL["keyword_search"] = f"WITH cleaned AS MATERIALIZED {_CLEANED} " + " UNION ALL ".join(map(_keyword, KEYWORDS))
+
 ORACLE_SQL["filter_jobs"] = """
 SELECT p_partkey AS id, p_name AS title, p_brand AS company, p_type AS location FROM part
 WHERE p_type ILIKE '%con_m%' AND p_brand ILIKE '%brand#1%' AND p_name ILIKE '%RED%'"""
@@ -470,6 +477,42 @@ SELECT coalesce(w.request_id, o.request_id) AS request_id,
 FROM wanted w FULL JOIN offered o
   ON w.request_id = o.request_id AND lower(w.skill) = lower(o.skill)"""
 
+ORACLE_SQL["best_fits"] = f"""
+WITH {_ASKED}, {_DOCUMENT_JOBS},
+pairs AS (
+  SELECT candidate_id, id AS job_id, len(skills) AS n, len(list_filter(skills, lambda s: list_contains(
+           {_LOWERED.format('cand')}, lower(s)))) AS shared
+  FROM asked, jobs WHERE len(skills) > 0),
+ranked AS (
+  SELECT candidate_id, job_id, CAST(round_even(shared / n * 100.0, 0) AS INT) AS fit_score, shared FROM pairs WHERE shared > 0),
+best AS (
+  SELECT candidate_id, job_id, fit_score,
+         CAST(row_number() OVER (PARTITION BY candidate_id ORDER BY fit_score DESC, job_id) AS INT) AS rank FROM ranked)
+SELECT candidate_id, rank, job_id, fit_score FROM best WHERE rank <= 5"""
+
+_A_WORD = r"[\pL\pM\p{Nd}\p{Pc}]+"
+
+ORACLE_SQL["vocabulary_extract"] = rf"""
+WITH w AS (SELECT string_split(trim(regexp_replace(text, '[ \n]+', ' ', 'g'), ' '), ' ') AS w FROM benchmark),
+entry AS MATERIALIZED (
+  SELECT DISTINCT entry, lower(entry) AS key
+  FROM (SELECT array_to_string(w[i:i + n - 1], ' ') AS entry
+        FROM (SELECT w, n, unnest(range(1, len(w) - n + 2)) AS i FROM w, (VALUES (2), (3)) AS v(n)))
+  WHERE regexp_full_match(entry, '{_A_WORD}( {_A_WORD})+')),
+token AS MATERIALIZED (
+  SELECT doc_id, t[i] AS t, i FROM (
+    SELECT doc_id, t, unnest(range(1, len(t) + 1)) AS i FROM (
+      SELECT doc_id, regexp_extract_all(lower(text), '(?s){_A_WORD}|.') AS t FROM documents))),
+run AS (
+  SELECT doc_id, t || lead(t, 1) OVER d || lead(t, 2) OVER d AS two,
+         t || lead(t, 1) OVER d || lead(t, 2) OVER d || lead(t, 3) OVER d || lead(t, 4) OVER d AS three
+  FROM token WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+hit AS (
+  SELECT DISTINCT doc_id, entry FROM (SELECT doc_id, two AS key FROM run UNION ALL SELECT doc_id, three FROM run) JOIN entry USING (key)),
+listed AS (SELECT doc_id, list(entry ORDER BY entry) AS found FROM hit GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(len(found), 0) AS INT) AS n, coalesce({joined('found')}, '') AS found
+FROM documents LEFT JOIN listed USING (doc_id)"""
+
 
 # --- vectors -------------------------------------------------------------------
 
