@@ -12,8 +12,8 @@ The trees over the parts do not change between rounds: they are built once, a bl
 vectors at a time, and staged with boxes and sums. A task sends one sum for each
 entry and component; they are added up in Spark, and what the driver holds is the codebooks.
 
-Defined cases: a vector that is null, holds null or non-finite components, or differs in width
-from the smallest kept id's (empty ones included) takes no part; a null id comes last; rows
+Defined cases: a vector that is null or empty, holds null or non-finite components, or differs in width
+from that of the smallest other id takes no part; a null id comes last; rows
 that repeat an id are vectors of their own; with fewer vectors than entries there is
 an entry for each; an empty table gives no rows. The width must be a multiple of the
 number of parts, and integers must stay below 2^29 for widths of eight (`_limit`), else an
@@ -247,7 +247,7 @@ def _totals(blocks: DataFrame, books: Books) -> np.ndarray:
 def train(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", scale: int = SCALE,
           parts: int = PARTS, entries: int = ENTRIES, rounds: int = ROUNDS) -> Books:
     """A codebook for each part: rows of integers. Empty without vectors."""
-    usable = kept(vectors, vector)
+    usable = kept(vectors, vector).where(F.size(vector) > 0)
     books = _first(usable, key, vector, scale, parts, entries)
     if not books:
         return []

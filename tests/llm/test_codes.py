@@ -96,7 +96,7 @@ def test_staged_trees_are_the_same():
 
 def test_edge_cases(spark):
     nan, inf = float("nan"), float("inf")
-    rows = [(1, [1.0, -0.5]), (2, None), (3, [1.0, None]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [2.0]), (7, []),
+    rows = [(0, []), (1, [1.0, -0.5]), (2, None), (3, [1.0, None]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [2.0]), (7, []),
             (None, [1.0, 1.0]), (1, [1.0, -0.5])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns(
         {c: F.lit(7) for c in ("part", "rows", "low", "cell", "n", "codes", "error", "label")})
