@@ -9,7 +9,7 @@ from jobloom.functions import jsontext, role, skills, text, vectors
 from jobloom.functions.when import out_of_range, relative_time
 from jobloom.operators import embedding, fit, ingest, letters, matching, pages, search
 from jobloom.operators.keyword import KeywordIndex
-from jobloom.operators.summaries import summarize, with_summaries
+from jobloom.operators.summaries import summarize, summarize_ids, with_summaries
 from jobloom.operators.vocabulary import find_listed
 from jobloom.plans.inputs import (
     HINTS, KEYWORDS, VERBS, VOCABULARY, as_jobs, as_of, conversation_requests, document_jobs,
@@ -17,7 +17,7 @@ from jobloom.plans.inputs import (
 )
 from jobloom.plans.postings import facts, posting_pages
 from jobloom.schema import STORED_JOB
-from jobloom.sources.shared import shared_copy, shared_folder, staged
+from jobloom.sources.shared import shared_folder, staged
 from jobloom.sources.store import JobStore
 from jobloom.sources.tables import read_pages, read_table, spread
 from jobloom.streaming.ingest import ingest_arriving_pages
@@ -151,6 +151,20 @@ def job_summary(spark: SparkSession, folder: str) -> DataFrame:
         joined(c("nice_to_have")).alias("optional"))
 
 
+def summary_lookup(spark: SparkSession, folder: str) -> DataFrame:
+    """Summaries of the jobs that events ask for by id."""
+    ids = read_table(spark, folder, "events").select("event_id", (c("user_id") * 10).alias("job_id"))
+    return summarize_ids(ids, document_jobs(spark, folder)).select(
+        "event_id", "job_id", "status", "summary", "seniority", joined(c("required_skills")).alias("required"))
+
+
+def listed_jobs(spark: SparkSession, folder: str) -> DataFrame:
+    """A filtered list as readers get it."""
+    found = search.public(search.list_jobs(document_jobs(spark, folder), company="src2"))
+    return found.select(*[x for x in found.columns if x not in ("skills", "date_posted", "created_at", "description_raw")],
+                        joined(c("skills")).alias("skills"))
+
+
 def stored_summaries(spark: SparkSession, folder: str) -> DataFrame:
     """Job table of documents with the summary column filled."""
     return with_summaries(document_jobs(spark, folder)).select("id", "summary")
@@ -251,6 +265,30 @@ def ingest_status(spark: SparkSession, folder: str) -> DataFrame:
     return ingest.ingest_status(*_outcomes(spark, folder))
 
 
+def _answered(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Every event asks for a raw page, errors for none of the web; every third page is stored already."""
+    store = JobStore(spark, f"{shared_folder(spark)}/jobloom-answers-{uuid.uuid4().hex}", 8)
+    raw = raw_pages(spark, folder)
+    stored = as_jobs(raw.where("page_id % 3 = 0"), id=c("page_id"), url=c("url"), title=F.lit("stored"), created_at=as_of())
+    store.append(stored.withColumns({"company_key": F.lit(""), "location_key": F.lit("")}), "before")
+    events = read_table(spark, folder, "events").select(c("event_id").alias("pos"), "event_type", c("user_id").alias("page_id"))
+    requests = events.join(raw.select("page_id", "url"), "page_id", "left").select("pos", F.when(
+        c("event_type") == "error", F.concat(F.lit("ftp:"), "pos")).otherwise(
+        F.coalesce("url", F.concat(F.lit("https://none.example.com/"), "page_id"))).alias("url"))
+    outcomes = ingest.ingest_into(store, requests, raw, as_of(), "events", VOCABULARY)
+    return ingest.ingest_answer(outcomes, requests, store)
+
+
+def ingest_saved(spark: SparkSession, folder: str) -> DataFrame:
+    """The jobs that the requests are answered with."""
+    return _answered(spark, folder)[0].select(
+        "pos", "status", "id", "url", "title", "description_clean", joined(c("skills")).alias("skills"))
+
+
+def ingest_failures(spark: SparkSession, folder: str) -> DataFrame:
+    return _answered(spark, folder)[1]
+
+
 def ingest_counts(spark: SparkSession, folder: str) -> DataFrame:
     return ingest.ingest_counts(_outcomes(spark, folder)[1])
 
@@ -570,15 +608,16 @@ def letter_prompt(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def letter_from_url(spark: SparkSession, folder: str) -> DataFrame:
-    """A letter for every ad; the older ads are stored already."""
-    jobs = shared_copy(ad_jobs(spark, folder))  # both sides read the parse
-    known = stored_ads(spark, folder).select("id")
+    """A letter for every ad; the older ads are in the job table, the others are fetched and stored."""
+    store = JobStore(spark, f"{shared_folder(spark)}/jobloom-letters-{uuid.uuid4().hex}", 8)
+    ads = posting_pages(spark, folder)
+    old = fetched_ads(spark, folder).join(stored_ads(spark, folder).select(c("id").alias("page_id")), "page_id", "left_semi")
+    store.append(ingest.build_jobs(pages.parse_pages(old, as_of()).where("parse_error is null"), as_of()), "before")
     requests = facts(spark, folder).select(
         c("page_id").alias("request_id"), c("url").alias("job_url"),
         c("priority").alias("resume_text"), c("segment").alias("candidate_name"),
         F.lit("confident").alias("tone"), F.lit(None).cast("string").alias("length"))
-    return letters.letter_prompts_from_urls(
-        requests, jobs.join(known, "id", "left_semi"), jobs.join(known, "id", "left_anti"))
+    return letters.letters_for_urls(store, requests, ads, as_of(), "letters")
 
 
 def explain_prompt(spark: SparkSession, folder: str) -> DataFrame:
@@ -593,7 +632,7 @@ QUERIES = {q.__name__: q for q in (
     page_fields, page_lines, page_description, page_parse,
     parse_page, jsonld_fields, header_fields, labelled_values, job_rows,
     seniority, job_summary, stored_summaries, job_text,
-    ingest_status, ingest_counts, store_batches, store_lookup, store_values, stream_ingest,
+    ingest_status, ingest_counts, ingest_saved, ingest_failures, summary_lookup, listed_jobs, store_batches, store_lookup, store_values, stream_ingest,
     list_jobs, list_total, keyword_search, filter_jobs, job_lookup,
     clean_text, truncate_slug, text_keys, url_fields, sentences, responsibilities,
     skill_split, relative_times,

@@ -306,6 +306,37 @@ SELECT count(*) FILTER (status = 'ingested') AS ingested_count,
        count(*) FILTER (status = 'failed') AS failed_count
 FROM statuses"""
 
+_ANSWERED = f"""{PAGES}, asked AS (
+  SELECT event_id AS pos, event_type <> 'error' AS valid, read.*,
+         CASE WHEN event_type = 'error' THEN 'ftp:' || event_id
+              ELSE coalesce(url, 'https://none.example.com/' || user_id) END AS asked_url
+  FROM events LEFT JOIN read ON page_id = user_id)"""
+ORACLE_SQL["ingest_saved"] = f"""{_ANSWERED}
+SELECT pos, CASE WHEN page_id % 3 > 0 AND row_number() OVER (PARTITION BY asked_url ORDER BY pos) = 1
+                 THEN 'ingested' ELSE 'existing' END AS status,
+       page_id AS id, url, CASE WHEN page_id % 3 > 0 THEN title ELSE 'stored' END AS title,
+       CASE WHEN page_id % 3 > 0 THEN {clean('description_raw')} END AS description_clean,
+       CASE WHEN page_id % 3 > 0 THEN {joined(find_skills(clean('description_raw'), VOCABULARY))} END AS skills
+FROM asked WHERE valid AND page_id IS NOT NULL"""
+ORACLE_SQL["ingest_failures"] = f"""{_ANSWERED}
+SELECT pos, asked_url AS url, CASE WHEN valid THEN 'Page could not be fetched.'
+         ELSE 'Invalid URL. Only http/https URLs are allowed.' END AS error
+FROM asked WHERE NOT valid OR page_id IS NULL"""
+
+ORACLE_SQL["summary_lookup"] = f"""
+WITH {_DOCUMENT_JOBS}, {_summary_ctes('description_clean', VOCABULARY)}
+SELECT event_id, user_id * 10 AS job_id, CASE WHEN id IS NULL THEN 'Job not found' ELSE 'ok' END AS status,
+       CASE WHEN id IS NOT NULL THEN {_sentence('required')} END AS summary,
+       CASE WHEN id IS NOT NULL THEN seniority END AS seniority,
+       {joined('list_slice(required, 1, 6)')} AS required
+FROM events LEFT JOIN split ON id = user_id * 10"""
+
+ORACLE_SQL["listed_jobs"] = f"""
+WITH {_DOCUMENT_JOBS}
+SELECT id, url, source, title, company, location, CAST(NULL AS VARCHAR) AS employment_type, description_clean,
+       CAST(NULL AS VARCHAR) AS summary, CAST(NULL AS VARCHAR) AS job_type, {joined('skills')} AS skills
+FROM jobs WHERE company = 'src2'"""
+
 ORACLE_SQL["store_batches"] = f"""
 WITH {_DOCUMENT_JOBS}
 SELECT id, url, title, company, location, description_clean, company AS company_key FROM jobs"""
