@@ -72,7 +72,7 @@ def test_edge_cases(spark, edge, none):
     docs = [tuple(r) for r in edge.select("doc_id", "text").collect()]
     target = spark.createDataFrame([(1, "the cat sat"), (None, None)], "item_id long, text string")
     found = importance.draw(importance.importance(edge, target), percent=50, least=3)
-    assert all(r[c] == 7 for r in found.collect() for c in CLASHES)
+    assert all(r[c] == 7 for r in found.collect() for c in CLASHES if c != "importance")
     rows = sorted((tuple(r) for r in found.select("doc_id", "importance.*").collect()), key=repr)
     wanted = brute(docs, [(1, "the cat sat")], percent=50, least=3)
     assert sorted(str(r[:5]) for r in rows) == sorted(str(r[:5]) for r in wanted)
