@@ -29,11 +29,13 @@ def _rows(frame) -> list[tuple]:
     return sorted((tuple(r) for r in plain.itertuples(index=False)), key=repr)
 
 
-def differences(spark, folder: str, name: str, con) -> list[str]:
-    """Empty when both sides agree on names, types, and rows in any order."""
+def differences(spark, folder: str, name: str, con, look=None) -> list[str]:
+    """Empty when both sides agree on names, types, and rows in any order. `look` gets the DataFrame before it runs."""
     import __spark_entry__ as entry
 
     found = entry.queries()[name](spark, folder)
+    if look is not None:
+        look(found)
     wanted = con.sql(entry.oracle_sql()[name])
     problems = []
     kinds = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE",

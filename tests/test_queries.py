@@ -3,7 +3,9 @@
 import pytest
 
 import __spark_entry__ as entry
+from jobloom.plans.catalog import QUERIES
 from tests.compare import differences, duck
+from tests.test_operators import plan
 
 SF = "/root/testdata/sf0.001"
 
@@ -13,9 +15,19 @@ def con():
     return duck(SF)
 
 
+def no_cross_join_and_no_row_udf(found):
+    shown = plan(found)
+    assert "CartesianProduct" not in shown and "BroadcastNestedLoopJoin" not in shown
+    assert "BatchEvalPython" not in shown
+
+
 @pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
 def test_same_as_sql(spark, con, name):
-    assert differences(spark, SF, name, con) == []
+    assert differences(spark, SF, name, con, no_cross_join_and_no_row_udf) == []
+
+
+def test_plan_without_twin(spark):
+    no_cross_join_and_no_row_udf(QUERIES["page_parse"](spark, SF))
 
 
 def test_entry(spark):
