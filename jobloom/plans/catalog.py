@@ -17,7 +17,7 @@ from jobloom.plans.inputs import (
 )
 from jobloom.plans.postings import facts, posting_pages
 from jobloom.schema import STORED_JOB
-from jobloom.sources.shared import shared_folder, staged
+from jobloom.sources.shared import shared_copy, shared_folder, staged
 from jobloom.sources.store import JobStore
 from jobloom.sources.tables import read_pages, read_table, spread
 from jobloom.streaming.ingest import ingest_arriving_pages
@@ -607,16 +607,28 @@ def letter_prompt(spark: SparkSession, folder: str) -> DataFrame:
     return letters.letter_prompts(requests, document_jobs(spark, folder))
 
 
+def _letter_requests(spark: SparkSession, folder: str) -> DataFrame:
+    return facts(spark, folder).select(
+        c("page_id").alias("request_id"), c("url").alias("job_url"),
+        c("priority").alias("resume_text"), c("segment").alias("candidate_name"),
+        F.lit("confident").alias("tone"), F.lit(None).cast("string").alias("length"))
+
+
 def letter_from_url(spark: SparkSession, folder: str) -> DataFrame:
-    """A letter for every ad; the older ads are in the job table, the others are fetched and stored."""
+    """A letter for every ad; the older ads are stored already."""
+    jobs = shared_copy(ad_jobs(spark, folder))  # both sides read the parse
+    known = stored_ads(spark, folder).select("id")
+    return letters.letter_prompts_from_urls(
+        _letter_requests(spark, folder), jobs.join(known, "id", "left_semi"), jobs.join(known, "id", "left_anti"))
+
+
+def letter_get_or_create(spark: SparkSession, folder: str) -> DataFrame:
+    """The same letters; the older ads are in the job table, the others are fetched, parsed and stored for them."""
     store = JobStore(spark, f"{shared_folder(spark)}/jobloom-letters-{uuid.uuid4().hex}", 8)
     ads = posting_pages(spark, folder)
     old = fetched_ads(spark, folder).join(stored_ads(spark, folder).select(c("id").alias("page_id")), "page_id", "left_semi")
     store.append(ingest.build_jobs(pages.parse_pages(old, as_of()).where("parse_error is null"), as_of()), "before")
-    requests = facts(spark, folder).select(
-        c("page_id").alias("request_id"), c("url").alias("job_url"),
-        c("priority").alias("resume_text"), c("segment").alias("candidate_name"),
-        F.lit("confident").alias("tone"), F.lit(None).cast("string").alias("length"))
+    requests = _letter_requests(spark, folder)
     return letters.letters_for_urls(store, requests, ads, as_of(), "letters")
 
 
@@ -639,5 +651,5 @@ QUERIES = {q.__name__: q for q in (
     skills_extract, vocabulary_extract, skills_json, candidate_skills, skill_fit, skill_overlap, best_fits,
     cosine, embedding_json, backfill_pick, backfill, semantic_match, match_requests, match_vectors, match_one,
     embed_hook, embed_once,
-    query_text, letter_prompt, letter_from_url, explain_prompt,
+    query_text, letter_prompt, letter_from_url, letter_get_or_create, explain_prompt,
 )}

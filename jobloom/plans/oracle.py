@@ -746,6 +746,8 @@ SELECT request_id, job_id, job_url, company, role_title,
        coalesce(created, false) AS was_job_created
 FROM met"""
 
+ORACLE_SQL["letter_get_or_create"] = ORACLE_SQL["letter_from_url"]
+
 ORACLE_SQL["explain_prompt"] = """
 SELECT a.conv_id, a.turn,
        'Resume:' || chr(10) || a.text || chr(10) || chr(10) || 'Job:' || chr(10) ||
