@@ -217,3 +217,15 @@ def test_a_long_page_with_nested_elements(spark):
     html = "<body><nav><nav></nav>menu</nav>" + "<p class='a'>word word, " * 5_000 + "</body>"
     df = spark.createDataFrame([(html,)], "html string")
     assert df.select(markup.body_text(F.col("html"))).first()[0] == " ".join(["word word,"] * 5_000)
+
+
+def test_stack_same_as_element_by_element(spark):
+    """Pairs with nothing left inside are taken out first; that changes nothing that is shown."""
+    html = ("<body><nav><nav></nav>Menu</nav><ul><li><b>a</b></li><li><i>b</i></li></ul>"
+            "<div><header>Top<header></div><p>c</p><a<nav>d</a<nav><footer>x<footer>y</footer>z</footer>e</body>")
+    df = spark.createDataFrame([(html,)], "html string")
+    assert df.select(markup.body_text(F.col("html"))).first()[0] == "a b c d e"
+    # The walk over the open elements gets what is left of the tags, of which most of a page have gone.
+    walked = df.select(F.size(F.split(markup._open_words(F.regexp_extract_all(
+        "html", F.lit(markup._TAG), F.lit(0)), markup.BOILERPLATE), "<")) - 1).first()[0]
+    assert walked < html.count("<") // 2 + 2
