@@ -3,18 +3,21 @@
 The searched text is what `list_jobs` searches. Its pieces of one to three characters are
 posted with the ids of the jobs that hold them. A keyword of up to three characters is a piece,
 and its posting is the answer; of a longer one the rarest pieces are intersected, and the jobs left are
-searched for the keyword itself. Postings are sorted by piece, so a search reads the row
-groups of its pieces only.
+searched for the keyword itself. Postings stay where their jobs were read, each file sorted by piece, so
+a search reads of every file the row groups and pages of its pieces only.
 """
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from jobloom.functions.text import bind
 from jobloom.operators.search import normal_keyword, searched_text
+from jobloom.sources.tables import spread
 
 PIECE = 3
 #: Postings that are intersected; the search of the text decides.
 RAREST = 4
+#: Bytes of a row group of postings.
+ROW_GROUP = 8 << 20
 POSTING = "piece string, id {kind}"
 COUNT = "piece string, jobs long"
 
@@ -40,9 +43,10 @@ class KeywordIndex:
     @classmethod
     def build(cls, jobs: DataFrame, path: str) -> "KeywordIndex":
         index = cls(jobs.sparkSession, path, jobs.schema["id"].dataType.simpleString())
-        posted = jobs.where("id is not null").select(F.explode(pieces(searched_text())).alias("piece"), "id")
-        # By piece and id, so that a piece of every job is spread over tasks.
-        posted.repartitionByRange("piece", "id").sortWithinPartitions("piece", "id").write.parquet(f"{path}/postings")
+        posted = spread(jobs.where("id is not null").select("id", searched_text().alias("text"))).select(
+            F.explode(pieces(F.col("text"))).alias("piece"), "id")
+        # Of the jobs only the texts move; their pieces are many times as large and are made once.
+        posted.sortWithinPartitions("piece", "id").write.option("parquet.block.size", ROW_GROUP).parquet(f"{path}/postings")
         counts = index.postings().groupBy("piece").agg(F.count("*").alias("jobs"))
         counts.repartitionByRange("piece").sortWithinPartitions("piece").write.parquet(f"{path}/counts")
         return index

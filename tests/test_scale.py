@@ -45,6 +45,16 @@ def test_postings_are_read_by_piece(searched):
     assert index.candidates("qqqqq").count() == 0
 
 
+def test_postings_stay_where_their_jobs_are(spark, searched, tmp_path):
+    """The pieces, many times as large as the texts, are made once and not moved: every file is sorted by
+    itself, as many as the session has partitions."""
+    jobs, _ = searched
+    index = KeywordIndex.build(jobs, str(tmp_path))
+    by_file = index.postings().where("piece = 'e'").select(F.input_file_name().alias("f")).distinct().count()
+    assert by_file > 1
+    assert index.candidates("e").count() == index.postings().where("piece = 'e'").count()
+
+
 def test_pieces(spark):
     row = spark.createDataFrame([("aab😀",), ("",), ("x",)], "t string").select(pieces(F.col("t")).alias("p")).collect()
     assert sorted(row[0].p) == sorted(["a", "b", "😀", "aa", "ab", "b😀", "aab", "ab😀"])
