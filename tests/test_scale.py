@@ -141,3 +141,25 @@ def test_empty_vocabulary_and_texts(spark):
     none = spark.createDataFrame([], "place long, entry string")
     assert [tuple(r) for r in find_listed(df, none).collect()] == [(1, [])]
     assert find_listed(df.limit(0), none).count() == 0
+
+
+def test_long_texts_in_stretches(spark):
+    """Entries across the ends of stretches, short and long ones, texts that end in one."""
+    draw = random.Random(4)
+    vocabulary = ["b", "b c", "c++", "a b c", "++", "b c a b", "c a", "é b"]
+    texts = [(i, "".join(draw.choice(["a", "b", "c", "c++", "é"]) + draw.choice([" ", " ", "", "-"]) for _ in range(n)))
+             for i, n in enumerate([126, 127, 128, 129, 255, 256, 257, 511, 513, 900])]
+    texts += [(100 + i, "x " * i + "b c a b") for i in range(120, 132)] + [(200 + i, "- " * i + "c++") for i in range(124, 132)]
+    df = spark.createDataFrame(texts, "id long, text string")
+    known = spark.createDataFrame(list(enumerate(vocabulary)), "place long, entry string")
+    found = {r.id: r.found for r in find_listed(df, known).collect()}
+    assert found == {i: by_scan(t, vocabulary) for i, t in texts}
+
+
+def test_small_vocabulary_moves_no_runs(spark):
+    """Only hits are shuffled, not each run of tokens that begins like an entry."""
+    df = spark.createDataFrame([(1, "a b c")], "id long, text string")
+    known = spark.createDataFrame([(1, "a b"), (2, "b c")], "place long, entry string")
+    shown = plan(find_entries(df, known))
+    assert not re.search(r"Exchange hashpartitioning\([^)]*key#", shown)
+    assert shown.count("BroadcastHashJoin") == 2
