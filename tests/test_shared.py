@@ -3,8 +3,11 @@
 import os
 import subprocess
 import sys
+import time
 from pathlib import Path
 
+from jobloom.sources.shared import staged
+
 SCRIPT = """
 from pyspark.sql import SparkSession
 spark = SparkSession.builder.master({master!r}).config("spark.ui.enabled", "false").config(
@@ -25,3 +28,19 @@ def test_plain_local_session_gets_one_temporary_folder(tmp_path):
                           capture_output=True, text=True, timeout=120)
     assert done.stdout.strip().endswith("worked"), done.stderr[-2000:]
     assert len(list(tmp_path.glob("jobloom-*"))) == 1
+
+
+def test_staging_leaves_no_shuffle_files(spark):
+    """Their rows are read from storage; other queries keep their setting."""
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f for f in found.mkString("\n").split("\n") if f.endswith(".data") and "shuffle_" in f}
+
+    before = files()
+    kept = staged(spark.range(1000).repartition(3).groupBy("id").count())
+    end = time.time() + 20
+    while files() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not files() - before
+    assert kept.count() == 1000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
