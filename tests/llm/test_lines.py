@@ -128,3 +128,24 @@ def test_near_lines_edge_cases(edge, none):
     assert len(rows) == 12 and found[2].n_lines == 0 and found[2].removed == [] and found[2].kept_text is None
     assert found[4].kept_text == " \n\t " and found[5].removed == [0] and found[9].kept_text == ""
     assert linejoin.drop_near_lines(none).count() == 0
+
+
+def test_few_texts_are_moved_for_unlike_lines(spark, monkeypatch):
+    import random
+
+    draw = random.Random(4)
+    base = [f"w{i}" for i in range(40)]
+    made = [[w if draw.random() < 0.84 else f"w{draw.randrange(1000)}" for w in base] for _ in range(120)]
+    docs = [(d, " ".join(words)) for d, words in enumerate(made)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    told, verified = [], linejoin._verified
+
+    def counting(pairs, *others):
+        told.append(pairs.count())
+        return verified(pairs, *others)
+
+    monkeypatch.setattr(linejoin, "_verified", counting)
+    found = {r.doc_id: r.near_lines.removed for r in linejoin.drop_near_lines(df).collect()}
+    want = brute(docs)
+    assert {d: r for d, r in found.items() if r} == want
+    assert sum(told) <= 20
