@@ -46,11 +46,8 @@ PARTS = 1 << 20
 #: Longer parts are encoded whenever they come.
 LONG = 64
 _PARTS = re.compile(r"(?= \S)")
-#: A blank and letters: one unit to the tokenizer. So many of them go to a call.
-_WORD = re.compile(" [A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: So many parts go to a call.
 _CALL = 256
-#: How a byte-level vocabulary spells a blank.
-_BLANK = "Ġ"
 
 
 def public_vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -69,8 +66,8 @@ class Encoder(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         spelled = self.tokenizer.get_vocab()
-        self.blank = np.zeros(max(spelled.values()) + 1, bool)
-        self.blank[[i for token, i in spelled.items() if token.startswith(_BLANK)]] = True
+        self.bytes = np.zeros(max(spelled.values()) + 1, np.int64)  # the vocabulary spells a byte as a character
+        self.bytes[list(spelled.values())] = list(map(len, spelled))
         self.forget()
 
     def forget(self) -> None:
@@ -84,22 +81,31 @@ class Encoder(dict):
         return number
 
     def _learn(self) -> None:
-        """Encodes the new parts. Words that are one unit to the tokenizer go many to a
-        call; each begins with the only id of its own that spells a blank."""
-        words = [i for i, part in enumerate(self.new) if _WORD.fullmatch(part)]
-        other = [i for i, part in enumerate(self.new) if not _WORD.fullmatch(part)]
-        lines = ["".join([self.new[i] for i in words[at:at + _CALL]]) for at in range(0, len(words), _CALL)]
-        n, ids = np.zeros(len(self.new), np.int64), []
-        for at, found in enumerate(self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)):
+        """Encodes the new parts. Those that begin with a blank and a visible character go many to a
+        call, for there the tokenizer begins anew; the bytes of the ids tell where each ends."""
+        words = [i for i, part in enumerate(self.new) if part[:1] == " " and part[1:2] and not part[1].isspace()]
+        own = set(words)
+        other = [i for i in range(len(self.new)) if i not in own]
+        calls = [words[at:at + _CALL] for at in range(0, len(words), _CALL)]
+        lines = ["".join([self.new[i] for i in call]) for call in calls]
+        n, ids, order = np.zeros(len(self.new), np.int64), [], []
+        for call, found in zip(calls, self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)):
             own = np.array(found.ids, np.uint32)
-            n[words[at * _CALL:(at + 1) * _CALL]] = np.diff(np.flatnonzero(self.blank[own]), append=len(own))
+            ends = np.cumsum([len(self.new[i].encode()) for i in call])
+            edges = np.searchsorted(reached := np.cumsum(self.bytes[own]), ends)
+            if edges[-1] + 1 != len(own) or not np.array_equal(reached[edges], ends):
+                other += call
+                continue
+            n[call] = np.diff(edges, prepend=-1)
             ids.append(own)
+            order += call
         for i, found in zip(other, self.tokenizer.encode_batch_fast(
                 [self.new[i] for i in other], add_special_tokens=False)):
             own = np.array(found.ids, np.uint32)
             n[i] = len(own)
             ids.append(own)
-        first, order = np.empty_like(n), np.array(words + other, np.int64)
+        order += other
+        first, order = np.empty_like(n), np.array(order, np.int64)
         first[order] = len(self.ids) + np.cumsum(n[order]) - n[order]
         self.first, self.n = np.concatenate([self.first, first]), np.concatenate([self.n, n])
         self.ids = np.concatenate([self.ids, *ids])

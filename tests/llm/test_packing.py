@@ -174,3 +174,21 @@ def test_numbers_hold_across_tasks(spark):
     found = packing.pack(docs, PATH, 10)
     assert found.select("sequence_id", "offset").distinct().count() == 3000
     assert found.agg({"sequence_id": "max"}).first()[0] == 3000 // 3 - 1
+
+
+def test_parts_with_line_ends_and_digits_go_many_to_a_call():
+    known = packing.Encoder(packing.public_vocabulary())
+    plain, handed = known.tokenizer, []
+
+    class Counting:
+        def encode_batch_fast(self, texts, add_special_tokens):
+            handed.extend(texts)
+            return plain.encode_batch_fast(texts, add_special_tokens=add_special_tokens)
+
+    known.tokenizer = Counting()
+    texts = [" ".join(f"é{i}.\n\nLine{i * j}  <|endoftext|>{j}\t" for i in range(50)) + "  " for j in range(20)]
+    texts += ["", " ", "  x\n y", "\x1c a\x1c b", "a\r\n b \n c\x85 　d"]
+    ids, counts = known.encode(texts)
+    want = [[*plain.encode(t, add_special_tokens=False).ids, packing.END] for t in texts]
+    assert ids.tolist() == [i for t in want for i in t] and counts.tolist() == list(map(len, want))
+    assert len(handed) < 50
