@@ -149,3 +149,16 @@ def test_few_texts_are_moved_for_unlike_lines(spark, monkeypatch):
     want = brute(docs)
     assert {d: r for d, r in found.items() if r} == want
     assert sum(told) <= 20
+
+
+def test_no_table_of_rarities_is_spelled_out_in_a_plan(spark):
+    df = spark.createDataFrame([(1, "one two three\nfour five"), (2, "four five six"), (3, None)], "doc_id long, text string")
+    levels = linejoin.rarities(df)
+    sets = linejoin.sets_of(df, levels)
+    plans = sets._jdf.queryExecution()
+    assert len(plans.toString()) < 100_000 and "_levels" not in plans.optimizedPlan().toString()
+    assert {(r.doc_id, r.at, r.n) for r in sets.collect()} == {(1, 0, 3), (1, 1, 2), (2, 0, 3)}
+    (row,) = levels.collect()
+    # two words occur twice (8 * log2(3) = 12), three once, each in a bucket of its own here
+    parts = [b for x in row.levels for b in (x & (2 ** 64 - 1)).to_bytes(8, "little") if b]
+    assert len(row.levels) == linejoin.BUCKETS // 8 and sorted(parts) == [8, 8, 8, 8, 12, 12]
