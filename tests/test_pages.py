@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from jobloom.functions import markup
+from jobloom.functions.text import collapse
 from jobloom.operators import pages
 
 AS_OF = dt.datetime(2026, 4, 30, 12)
@@ -229,3 +230,58 @@ def test_stack_same_as_element_by_element(spark):
     walked = df.select(F.size(F.split(markup._open_words(F.regexp_extract_all(
         "html", F.lit(markup._TAG), F.lit(0)), markup.BOILERPLATE), "<")) - 1).first()[0]
     assert walked < html.count("<") // 2 + 2
+
+
+def test_pairs_are_cut_as_the_stack_cuts(spark):
+    """Pages are the same to the last character, whether their elements are well nested, unclosed or stray."""
+    draw = random.Random(7)
+    names = ["nav", "NAV", "header", "footer", "div", "p", "nav-x", "body"]
+    bits = ["<br>", "</br>", "<nav/>", "</ nav>", "x", "z < 3", "> ", "<!doctype a>", "<a<nav>", "$1", "\\2", "<nav", "\x06",
+            *[f"<{n} a='x>y'>" for n in names], *[f"</{n}>" for n in names]]
+
+    def tree(depth):
+        if depth == 0 or draw.random() < 0.2:
+            return draw.choice(["x", "y", ""])
+        name = draw.choice(names)
+        return f"<{name}>" + "".join(tree(depth - 1) for _ in range(draw.randint(0, 3))) + draw.choice([f"</{name}>"] * 6 + [""])
+
+    pages_ = [(i, "".join(draw.choice(bits) for _ in range(draw.randint(1, 25))) if i % 2 else tree(5)) for i in range(1500)]
+    df = spark.createDataFrame([*pages_, (-1, None)], "i int, h string")
+    both = df.select("h", markup._cut_pairs(F.col("h"), markup.BOILERPLATE).alias("a"), markup._cut_out(F.col("h"), markup.BOILERPLATE).alias("b"))
+    assert both.where(~F.col("a").eqNullSafe(F.col("b"))).count() == 0
+
+
+def test_nested_pages_need_no_stack(spark, monkeypatch):
+    html = ("<html><body><nav>Menu<nav>Jobs</nav>Home</nav><p>a</p><div><header>Top<header></div>"
+            "<footer>x<footer>y</footer>z</footer><p>b</p></body></html>")
+    monkeypatch.setattr(markup, "_cut_out", lambda page, names: F.raise_error(F.lit("the stack")))
+    df = spark.createDataFrame([(html,)], "html string")
+    assert df.select(markup.body_text(F.col("html"))).first()[0] == "a b"
+
+
+def test_a_costly_text_is_made_once(spark):
+    """`nullif` in a condition would make its text twice."""
+    df = spark.createDataFrame([(" a  b ", 1), (" ", 1), (None, 1)], "t string, n int")
+    found = df.select(F.when(F.col("n") == 1, collapse(F.col("t"))).alias("c"))
+    assert [r.c for r in found.collect()] == ["a b", None, None]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
+
+
+def test_methods_are_no_longer_than_are_compiled(spark):
+    key = "spark.sql.codegen.hugeMethodLimit"
+    spark.conf.set(key, "65535")
+    pages.parse_pages(spark.createDataFrame([], "page_id long, url string, html string"), F.current_timestamp())
+    assert spark.conf.get(key) == "8000"
+
+
+def test_a_filter_on_the_page_does_not_make_it_again(spark, tmp_path):
+    from jobloom.plans.catalog import fetched_ads
+
+    for name, row in {
+        "orders": "1 AS o_orderkey, 2 AS o_custkey, 'P' AS o_orderstatus, '1-URGENT' AS o_orderpriority, TIMESTAMP '1995-01-02 00:00:00' AS o_orderdate",
+        "customer": "2 AS c_custkey, 3 AS c_nationkey, 'BUILDING' AS c_mktsegment, 'C' AS c_name",
+        "nation": "3 AS n_nationkey, 4 AS n_regionkey", "region": "4 AS r_regionkey, 'ASIA' AS r_name"}.items():
+        spark.sql(f"SELECT {row}").write.parquet(f"{tmp_path}/{name}.parquet")
+    ads = fetched_ads(spark, str(tmp_path))
+    assert ads.count() == 1
+    assert ads._jdf.queryExecution().optimizedPlan().toString().count("og:site_name") == 1
