@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from jobloom.operators import fit, search
-from jobloom.operators.keyword import KeywordIndex, pieces
+from jobloom.operators.keyword import KeywordIndex, _pieces, pieces
 from jobloom.operators.vocabulary import find_entries, find_listed
 from jobloom.plans.inputs import as_jobs
 from tests.test_operators import plan
@@ -55,6 +55,31 @@ def test_postings_stay_where_their_jobs_are(spark, searched, tmp_path):
     assert index.candidates("e").count() == index.postings().where("piece = 'e'").count()
 
 
+def test_a_row_of_postings_holds_many_jobs(spark, searched, tmp_path):
+    """One for a piece of some texts, not one for each piece of each text; it is the pieces that the column function gives."""
+    jobs, _ = searched
+    index = KeywordIndex.build(jobs, str(tmp_path))
+    wanted = jobs.select("id", F.explode(pieces(search.searched_text())).alias("piece"))
+    found = index.postings()
+    assert sorted(map(tuple, found.select("piece", "id").collect())) == sorted(map(tuple, wanted.select("piece", "id").collect()))
+    assert spark.read.parquet(f"{tmp_path}/postings").count() < found.count() / 2
+
+
+def test_pieces_of_many_characters():
+    """More different characters than go with a text's number into one whole number."""
+    texts = ["".join(map(chr, range(0x4E00 + 7 * i, 0x4E00 + 7 * i + 9000))) + "\U0001F600a\U0001F600a" for i in range(5)]
+    texts += ["".join(map(chr, range(0x20000, 0x30000))), "", "a"]
+    found = {}
+    for first, (strings, lengths, numbers) in _pieces(texts):
+        at = 0
+        for piece, n in zip(strings, lengths):
+            for k in numbers[at:at + n]:
+                found.setdefault(first + int(k), set()).add(piece)
+            at += n
+    for i, text in enumerate(texts):
+        assert found.get(i, set()) == {text[j:j + k] for k in (1, 2, 3) for j in range(len(text) - k + 1)}
+
+
 def test_pieces(spark):
     row = spark.createDataFrame([("aab😀",), ("",), ("x",)], "t string").select(pieces(F.col("t")).alias("p")).collect()
     assert sorted(row[0].p) == sorted(["a", "b", "😀", "aa", "ab", "b😀", "aab", "ab😀"])
